@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from headloom.llm import exact_dedup, sharding, token_store
+from headloom.llm import exact_dedup, mixing, near_dedup, packing, sharding, token_store
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": mixing.op1_mixing,
+        "op2_packing": packing.op2_packing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_sharding": sharding.op4_sharding,
         "op5_token_store": token_store.op5_token_store,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op8_near_dedup": near_dedup.ORACLE_SQL}
