@@ -53,12 +53,10 @@ def op4_sharding(spark, sf_dir: str, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, read from the files that were written."""
     path = shared_path(spark, "shards")
     write_shuffled(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return shard_by_rows(spark.read.parquet(path), shards).select(
-        F.col("rec.doc_id").alias("doc_id"),
-        (size_of(F.col("rec.text")) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("rec.text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("rows").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
+    text = F.coalesce(F.col("rec.text"), F.lit(""))
+    read = spark.read.parquet(path).select(  # what the shards hold is checked as it is read; only digests move on
+        "bucket", "place", F.col("rec.doc_id").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    return shard_by_rows(read, shards).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
