@@ -6,9 +6,9 @@ buckets; documents with the same set are one class, and only its smallest id goe
 
 Buckets are never expanded into pairs. First each member is compared with two leaders of its bucket, the
 member that shares most buckets with others and one that differs by band, which joins nearly all that belongs
-together. Where a bucket then still holds several components, those components are compared as a whole: the
-documents of one in blocks against the documents of the other, over full sets, inside tasks of bounded size;
-so no pair of a bucket goes untested, and only links come out. Every link is decided by the exact sizes of
+together. Where a bucket then still holds several components, the documents outside its largest component are
+compared with all of the bucket, in blocks of bounded size and over full sets, inside tasks; so no pair of a
+bucket that could join components goes untested, and only links come out. Every link is decided by the exact sizes of
 intersection and union of the two sets. Last, components of the links are found by star steps.
 
 Edge cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer words
@@ -34,7 +34,7 @@ ROWS = 4
 SHINGLE = 4
 PERCENT = 80
 _SEEDS = np.random.default_rng(8128).integers(0, 2**63, (PERMUTATIONS, 2), dtype=np.uint64)
-_BLOCK_TARGETS, _BLOCK_QUERIES = 1 << 20, 1 << 18
+_BLOCK_TARGETS, _BLOCK_QUERIES = 1 << 18, 1 << 17
 _U = np.uint64
 
 
@@ -109,28 +109,32 @@ def shingle_sets(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return df.mapInArrow(run, "id long, words binary")
 
 
-def _compare(targets: list[tuple[int, np.ndarray]], queries: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """One link, if there is any, from each query to a target."""
-    sizes = np.array([len(x) for _, x in targets])
-    flat = np.concatenate([x for _, x in targets])
+_Member = tuple[int, int, np.ndarray]  # id, label, set
+
+
+def _compare(targets: list[_Member], queries: list[_Member], percent: int) -> list[tuple[int, int]]:
+    """From each query one link, if there is any, to each label of targets but its own."""
+    sizes = np.array([len(x) for _, _, x in targets])
+    flat = np.concatenate([x for _, _, x in targets])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], np.repeat(np.arange(len(targets)), sizes)[order]
+    labels = np.array([x for _, x, _ in targets])
     out = []
-    for q, x in queries:
+    for q, label, x in queries:
         low, high = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
         n = high - low
         hits = owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
         shared = np.bincount(hits, minlength=len(targets))
-        for t in np.flatnonzero(100 * shared >= percent * (len(x) + sizes - shared)).tolist():
-            if targets[t][0] != q:
-                out.append((q, targets[t][0]))
-                break
+        linked = np.flatnonzero((100 * shared >= percent * (len(x) + sizes - shared)) & (labels != label))
+        if len(linked):
+            first = linked[np.unique(labels[linked], return_index=True)[1]]
+            out += [(q, targets[t][0]) for t in first.tolist()]
     return out
 
 
 def verified(targets: DataFrame, queries: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links a, b between queries and targets of the same key. Both: key, id, n. A key's documents are dealt
-    into blocks by the sizes of their sets, so that no task holds more than a few MB of them."""
+    """Links a, b between queries and targets of the same key and different labels. Both: key, id, label, n. A
+    key's documents are dealt into blocks by the sizes of their sets, so that no task holds more than a few MB."""
     t_size = targets.groupBy("key").agg(F.ceil(F.sum("n") / _BLOCK_TARGETS).cast("int").alias("ti"))
     q_size = queries.groupBy("key").agg(F.ceil(F.sum("n") / _BLOCK_QUERIES).cast("int").alias("qj"))
     sizes = staged(t_size.join(q_size, "key"), "block-sizes")
@@ -140,20 +144,21 @@ def verified(targets: DataFrame, queries: DataFrame, sets: DataFrame, percent: i
         df = df.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(side)), F.col(own)).cast("int"))
         df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         i, j = ("own", "other") if side == 0 else ("other", "own")
-        return df.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side"), "id")
+        return df.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side"), "id", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, block = None, ([], [])
         links: list[tuple[int, int]] = []
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True)
-            sides, ids, words = batch.column("side").to_pylist(), batch.column("id").to_pylist(), batch.column("words")
+            sides, ids, labels = (batch.column(c).to_pylist() for c in ("side", "id", "label"))
+            words = batch.column("words")
             for at, key in enumerate(keys):
                 if key != now:
                     if block[0] and block[1]:
                         links += _compare(*block, percent)
                     now, block = key, ([], [])
-                block[sides[at]].append((ids[at], np.frombuffer(words[at].as_py(), np.uint64)))
+                block[sides[at]].append((ids[at], labels[at], np.frombuffer(words[at].as_py(), np.uint64)))
             if links:
                 yield _pairs(links)
                 links = []
@@ -164,7 +169,7 @@ def verified(targets: DataFrame, queries: DataFrame, sets: DataFrame, percent: i
 
     rows = dealt(targets, 0).unionByName(dealt(queries, 1)).join(sets, "id")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return rows.select("key", "i", "j", "side", "id", "words").mapInArrow(run, "a long, b long")
+    return rows.select("key", "i", "j", "side", "id", "label", "words").mapInArrow(run, "a long, b long")
 
 
 def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -194,22 +199,16 @@ def near_duplicates(
     stars = staged(entries.join(leaders, "b").filter(fits).select("key", "lead_n", "id", "n").distinct(), "stars")
     wanted = staged(entries.select(F.col("id").alias("doc_id")).distinct(), "wanted")
     sets = staged(shingle_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "sets")
-    heads = stars.select("key", F.col("key").alias("id"), F.col("lead_n").alias("n")).distinct()
-    links = staged(verified(heads, stars.select("key", "id", "n"), sets, percent), "star-links")
+    heads = stars.select("key", F.col("key").alias("id"), F.col("key").alias("label"), F.col("lead_n").alias("n")).distinct()
+    links = staged(verified(heads, stars.select("key", "id", F.col("id").alias("label"), "n"), sets, percent), "star-links")
 
     found = staged(components(links), "star-components")
     placed = entries.join(found, "id", "left").withColumn("label", F.coalesce("component", "id"))
-    held = placed.groupBy("b", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    mixed = held.groupBy("b").agg(F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("b")
-    held = staged(held.join(mixed, "b"), "mixed")
-    x, y = held.alias("x"), held.alias("y")
-    near = (F.col("x.high") * 100 >= F.col("y.low") * percent) & (F.col("y.high") * 100 >= F.col("x.low") * percent)
-    between = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.label") < F.col("y.label")) & near)
-    between = staged(between.select(F.col("x.label").alias("key"), F.col("y.label").alias("other")).distinct(), "between")
-    members = staged(placed.select("label", "id", "n").distinct(), "members")
-    targets = members.join(between.select(F.col("key").alias("label")).distinct(), "label").select(F.col("label").alias("key"), "id", "n")
-    queries = between.join(members.withColumnRenamed("label", "other"), "other").select("key", "id", "n")
-    more = staged(verified(targets, queries, sets, percent), "block-links")
+    held = placed.groupBy("b", "label").count().groupBy("b").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("count", "label")).alias("top"))
+    mixed = staged(held.filter("labels > 1").select("b", F.col("top.label").alias("main")), "mixed")
+    members = staged(placed.join(mixed, "b").select(F.col("b").alias("key"), "id", "label", "n", "main"), "members")
+    rest = members.filter("label <> main")
+    more = staged(verified(members, rest, sets, percent), "block-links")
 
     final = components(links.unionByName(more)) if more.take(1) else found
     final = final.select(F.col("id").alias("rep"), "component")
@@ -220,9 +219,9 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
-    lost = staged(near_duplicates(df, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_lost")).distinct(), "lost")
+    lost = staged(near_duplicates(df, id_col, text_col, shingle, percent).filter("not kept").select(F.col("doc_id").alias("_lost")).distinct(), "lost")
     return df.join(lost, df[id_col] == lost["_lost"], "left_anti")
 
 
