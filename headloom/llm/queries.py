@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_sharding": sharding.op4_sharding,
         "op5_token_store": token_store.op5_token_store,
         "op7_quality": quality.op7_quality,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_nearest": ann.op9_nearest,
         "op10_licenses": licenses.op10_licenses,
