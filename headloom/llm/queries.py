@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from headloom.llm import ann, exact_dedup, licenses, mixing, near_dedup, packing, quality, sharding, token_store
+from headloom.llm import ann, exact_dedup, licenses, mixing, near_dedup, packing, quality, sharding, suffix_dedup, token_store
 
 
 def queries() -> dict:
@@ -12,8 +12,8 @@ def queries() -> dict:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_sharding": sharding.op4_sharding,
         "op5_token_store": token_store.op5_token_store,
-        "op7_quality": quality.op7_quality,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+        "op7_quality": quality.op7_quality,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_nearest": ann.op9_nearest,
         "op10_licenses": licenses.op10_licenses,
