@@ -2,7 +2,8 @@
 
 Neither vocabulary lets a token cross from a non-blank into following white space, so a text is cut before
 its spaces and line ends, the distinct pieces of a batch are encoded once each, and ids are gathered back by
-piece. Texts with longer runs of white space, which may be one token, are encoded whole.
+piece. Texts with longer runs of white space, which may be one token of the byte-level
+vocabulary, are encoded whole.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,12 @@ import pyarrow.compute as pc
 BYTE_VOCAB, WORD_VOCAB = "byte_bpe_50k.json", "word_bpe_49k.json"
 _BLANK = r"[\s\x0b\x{85}\p{Z}]"
 _SLICE_BYTES = 4 << 20
-_CACHE_PIECES = 400_000
+_CUT = "\x1f"  # texts that hold it are encoded whole
+_CACHE_PIECES = 700_000
+_BATCH = 4096
 
 
 class Encoder:
-    """``spaced``: a piece after the first takes the space before it along (byte-level vocabulary)."""
-
     def __init__(self, vocab: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
@@ -33,16 +34,18 @@ class Encoder:
         path = vocab if os.path.isabs(vocab) else public_tokenizers.path(vocab)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced = "word_bpe" not in os.path.basename(path)
+        drops_space = "word_bpe" in os.path.basename(path)
+        self.odd = _CUT if drops_space else f"{_CUT}|{_BLANK}{{3}}|{_BLANK}{{2}}$"
         self.known: dict[str, int] = {}  # piece -> where in starts and sizes; the first _CACHE_PIECES seen
         self.flat, self.starts, self.sizes = (np.zeros(0, t) for t in (np.uint32, np.int64, np.int64))
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        run = self.tokenizer.encode_batch_fast  # an encoding holds far more than its ids: few at a time
+        return [x.ids for at in range(0, len(texts), _BATCH) for x in run(texts[at : at + _BATCH], add_special_tokens=False)]
 
     def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all pieces on end, and where each given piece starts in them and how many it has."""
-        at = np.fromiter((self.known.get(x, -1) for x in texts), np.int64, len(texts))
+        at = np.array(list(map(self.known.get, texts, repeat(-1))), np.int64)
         new = np.flatnonzero(at < 0)
         fresh = [texts[i] for i in new.tolist()]
         ids = self._encode(fresh)
@@ -59,24 +62,15 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin (one more entry than texts)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        whole = np.zeros(len(texts), bool)
-        if self.spaced:
-            whole = pc.match_substring_regex(texts, f"{_BLANK}{{3}}|{_BLANK}{{2}}$").to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         easy = texts.filter(pa.array(~whole)) if whole.any() else texts
-        split = pc.split_pattern(pc.replace_substring(easy, "\n", " \n"), " ")
+        marked = pc.replace_substring(pc.replace_substring(easy, " ", f"{_CUT} "), "\n", f"{_CUT}\n")
+        split = pc.split_pattern(marked, _CUT)
         coded = split.flatten().dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         ends = split.offsets.to_numpy()
         ends = ends - ends[0]
         words = coded.dictionary.to_pylist()
-        if self.spaced:
-            first = np.zeros(len(code), bool)
-            first[ends[:-1]] = True  # no piece before it, so no space
-            both = code * 2 + ~first  # which distinct pieces occur after a cut, and which at a beginning
-            seen = np.zeros(2 * len(words), bool)
-            seen[both] = True
-            code = (np.cumsum(seen) - 1)[both]
-            words = [words[u >> 1] if not u & 1 or words[u >> 1].startswith("\n") else " " + words[u >> 1] for u in np.flatnonzero(seen).tolist()]
         flat, starts, sizes = self._pieces(words)
         n = sizes[code]
         at = np.concatenate(([0], np.cumsum(n)))
