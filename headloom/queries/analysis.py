@@ -122,8 +122,8 @@ _of("layer_rates", findings.layer_rates, "SELECT note_id, layer, occ, round(occ
 
 # Transition and census --------------------------------------------------------------------------------
 _of("transition_occ", transition.counts, "SELECT pair, category, count(*) AS occ FROM moves GROUP BY 1, 2")
-_TR = "SELECT p.*, count(*) FILTER (category = 'both') AS "both", count(*) FILTER (category = 'modern_only') AS modern_only, count(*) FILTER (category = 'legacy_only') AS legacy_only, count(*) FILTER (category = 'neither') AS neither, count(DISTINCT site) FILTER (category IN ('both', 'modern_only')) AS modern_sites, count(DISTINCT site) FILTER (category IN ('both', 'legacy_only')) AS legacy_sites FROM pk p LEFT JOIN moves m USING (pair) GROUP BY ALL"
-_of("transition_rows", transition.rows, f"SELECT *, "both" + modern_only AS modern_present, "both" + legacy_only AS legacy_present, 2 * "both" + modern_only + legacy_only AS scoped, round(("both" + modern_only) / nullif(2 * "both" + modern_only + legacy_only, 0), 6) AS ratio FROM ({_TR})")
+_TR = '''SELECT p.*, count(*) FILTER (category = 'both') AS "both", count(*) FILTER (category = 'modern_only') AS modern_only, count(*) FILTER (category = 'legacy_only') AS legacy_only, count(*) FILTER (category = 'neither') AS neither, count(DISTINCT site) FILTER (category IN ('both', 'modern_only')) AS modern_sites, count(DISTINCT site) FILTER (category IN ('both', 'legacy_only')) AS legacy_sites FROM pk p LEFT JOIN moves m USING (pair) GROUP BY ALL'''
+_of("transition_rows", transition.rows, f'''SELECT *, "both" + modern_only AS modern_present, "both" + legacy_only AS legacy_present, 2 * "both" + modern_only + legacy_only AS scoped, round(("both" + modern_only) / nullif(2 * "both" + modern_only + legacy_only, 0), 6) AS ratio FROM ({_TR})''')
 _CENSUS = f"""cen AS (SELECT name, responses, coalesce(bytes, 0) AS bytes,
   CASE WHEN name IN ('cf-ray', 'cf-cache-status') THEN 'cloudflare' WHEN name IN ('x-amz-cf-id', 'x-amz-cf-pop') THEN 'cloudfront' WHEN name IN ('x-served-by', 'x-timer') THEN 'fastly' WHEN name IN ('akamai-grn', 'x-akamai-transformed') THEN 'akamai'
        WHEN name IN ('x-vercel-id', 'x-vercel-cache') THEN 'vercel' WHEN name = 'x-azure-ref' THEN 'azure-front-door' WHEN name LIKE 'x-envoy-%' THEN 'envoy' WHEN name = 'x-nextjs-cache' THEN 'nextjs' ELSE '__unattributed__' END AS vendor,
