@@ -61,7 +61,7 @@ _of("csp_buckets", counters.policy_buckets, f"SELECT CASE WHEN size = 0 THEN 'No
 _of("layer_counts", counters.layer_counts, "SELECT coalesce(layer, '__unmatched__') AS layer, count(*) AS responses FROM resp LEFT JOIN lay USING (resp_id) GROUP BY 1")
 _of("layer_coverage", lambda e: e.agg(F.count(F.lit(1)).alias("responses"), F.round(F.avg((F.size("layers") > 0).cast("double")), 6).alias("coverage")), "SELECT count(*) AS responses, round(avg(CASE WHEN resp_id IN (SELECT resp_id FROM lay) THEN 1.0 ELSE 0 END), 6) AS coverage FROM resp")
 _of("field_by_layer", counters.field_by_layer, "SELECT name, layer, count(*) AS occ FROM hdr JOIN lay USING (resp_id) GROUP BY 1, 2")
-_of("asn_lpm", lambda e: e.select("resp_id", "asn"), "SELECT resp_id, asn FROM resp")
+_of("asn_lpm", lambda e: e.select("resp_id", F.coalesce("asn", F.lit(0)).alias("asn")), "SELECT resp_id, coalesce(asn, 0) AS asn FROM resp")
 _of("asn_counts", counters.asn_counts, "SELECT asn, count(*) AS responses FROM resp WHERE asn IS NOT NULL GROUP BY asn")
 
 
