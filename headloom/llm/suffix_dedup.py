@@ -14,6 +14,8 @@ suffixes are merged under their sample, and neighbours in sorted order are compa
   is spread into its windows. Windows of one sample meet in one task, are sorted by a hash of their 400
   bytes, and neighbours are compared. Samples with very many windows are counted by a grouping instead.
 
+Every table here grows with the corpus, so joins are merge joins by hint and nothing is broadcast.
+
 Hashes are 64 bits wide over windows that already share a 64-byte gram's hash.
 
 Edge cases: a null text is empty; texts shorter than ``length`` lose nothing; a text that repeats inside itself
@@ -205,16 +207,16 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, man
         F.count(F.lit(1)).alias("names"), F.sum("n").alias("total"), F.max("again").alias("any_again"), F.sum(F.col("one.high") - F.col("one.low") + 1).alias("windows")
     )
     seeds = seeds.filter("total > 1 or any_again")
-    named = staged(named.join(seeds, "seed").select("seed", "name", "n", "names", "again", "any_again", "windows", "one.*"), "names")
-    whole = samples.join(named.filter("n > 1").select("seed", "name"), ["seed", "name"]).select(*key, F.col("low").alias("start"), (F.col("high") + length).alias("end"))
+    named = staged(named.join(seeds.hint("merge"), "seed").select("seed", "name", "n", "names", "again", "any_again", "windows", "one.*"), "names")
+    whole = samples.join(named.filter("n > 1").select("seed", "name").hint("merge"), ["seed", "name"]).select(*key, F.col("low").alias("start"), (F.col("high") + length).alias("end"))
     whole = staged(whole, "whole-runs")
     spread = named.filter("names > 1 or any_again")
     suspects = whole.select(*key).unionByName(spread.select(*key)).distinct()
     suspects = staged(suspects, "suspects")
-    texts = staged(docs.join(suspects, key, "left_semi"), "suspect-texts")
+    texts = staged(docs.join(suspects.hint("merge"), key, "left_semi"), "suspect-texts")
 
     asked = spread.groupBy(*key).agg(F.collect_list(F.struct("seed", "low", "high")).alias("runs"))  # as many as the document is long
-    bodies = staged(contexts(texts.select(*key, "body").dropDuplicates(key).join(asked, key), length), "contexts")
+    bodies = staged(contexts(texts.select(*key, "body").dropDuplicates(key).join(asked.hint("merge"), key), length), "contexts")
     crowded = staged(spread.filter(F.col("windows") > many).select("seed").distinct(), "crowded")
     few = twins(bodies.join(crowded, "seed", "left_anti"), length)
     ranges = whole.unionByName(few)
@@ -230,10 +232,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.xxhash64("body").alias("hash"), "body")
     texts, ranges = repeated_ranges(docs, length, gram, many)
     listed = ranges.groupBy("doc", "hash").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))  # as many as the document is long
-    cut = cut_repeats(texts.join(listed, ["doc", "hash"]).select("doc_id", "body", "ranges"))
+    cut = cut_repeats(texts.join(listed.hint("merge"), ["doc", "hash"]).select("doc_id", "body", "ranges"))
     rest = docs.select("doc_id", "doc", "hash", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("kept_sha256"))
     touched = staged(ranges.select("doc", "hash").distinct(), "touched")
-    rest = rest.join(touched, ["doc", "hash"], "left_anti")
+    rest = rest.join(touched.hint("merge"), ["doc", "hash"], "left_anti")
     zero = F.lit(0).cast("long")
     rest = rest.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
     return rest.unionByName(cut)
