@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from headloom.functions import headers as H
 from headloom.operators.counters import header_bytes, unregistered
 
-N = F.count(F.lit(1))
+
+def rows_in() -> Column:
+    return F.count(F.lit(1))
+
 
 
 def entries(e: DataFrame) -> DataFrame:
@@ -23,10 +26,10 @@ def clusters(found: DataFrame, axis: str | Column, out: str, members: int = 8) -
     """Names, responses and bytes by axis, with the commonest members."""
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("responses")).alias("r"), "name")))  # names of one cluster: as many as there are header names
     rows = found.groupBy(F.col(axis).alias(out) if isinstance(axis, str) else axis.alias(out))
-    rows = rows.agg(N.alias("names"), F.sum("responses").alias("responses"), F.sum("bytes").alias("bytes"), ranked.alias("m"))
+    rows = rows.agg(rows_in().alias("names"), F.sum("responses").alias("responses"), F.sum("bytes").alias("bytes"), ranked.alias("m"))
     return rows.withColumn("members", F.array_join(F.transform(F.slice("m", 1, members), lambda x: x["name"]), ", ")).drop("m")
 
 
 def totals(found: DataFrame) -> DataFrame:
     known = F.sum(F.col("well_known").cast("long"))
-    return found.agg(N.alias("names"), F.sum("responses").alias("responses"), F.sum("bytes").alias("bytes"), known.alias("well_known_names"), (N - known).alias("novel_names"))
+    return found.agg(rows_in().alias("names"), F.sum("responses").alias("responses"), F.sum("bytes").alias("bytes"), known.alias("well_known_names"), (rows_in() - known).alias("novel_names"))

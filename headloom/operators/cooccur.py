@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from headloom.functions import headers as H
 
-N = F.count(F.lit(1))
+
+def rows_in() -> Column:
+    return F.count(F.lit(1))
+
 
 
 def security(e: DataFrame) -> Column:
@@ -15,16 +18,16 @@ def security(e: DataFrame) -> Column:
 
 
 def bundles(e: DataFrame, tokens: Column) -> DataFrame:
-    return e.select("site", H.bundle(tokens).alias("bundle")).groupBy("bundle").agg(N.alias("occ"), F.countDistinct("site").alias("sites"))
+    return e.select("site", H.bundle(tokens).alias("bundle")).groupBy("bundle").agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
 
 
 def marginal_counts(e: DataFrame, tokens: Column) -> DataFrame:
-    return e.select("site", F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(N.alias("occ"), F.countDistinct("site").alias("sites"))
+    return e.select("site", F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
 
 
 def pair_counts(e: DataFrame, tokens: Column) -> DataFrame:
     rows = e.select("site", F.explode(H.pairs(tokens)).alias("pair"))
-    return rows.groupBy("pair").agg(N.alias("occ"), F.countDistinct("site").alias("sites"))
+    return rows.groupBy("pair").agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
 
 
 def lifts(e: DataFrame, tokens: Column, limit: int = 25) -> DataFrame:
@@ -39,7 +42,7 @@ def lifts(e: DataFrame, tokens: Column, limit: int = 25) -> DataFrame:
 
 
 def by_layer(e: DataFrame, tokens: Column) -> DataFrame:
-    return e.select(H.bundle(tokens).alias("bundle"), F.explode("layers").alias("layer")).groupBy("bundle", "layer").agg(N.alias("occ"))
+    return e.select(H.bundle(tokens).alias("bundle"), F.explode("layers").alias("layer")).groupBy("bundle", "layer").agg(rows_in().alias("occ"))
 
 
 def layer_defaults(e: DataFrame, tokens: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headloom.functions import headers as H
@@ -10,23 +10,26 @@ from headloom.functions import text as T
 from headloom.plans.enrich import header_rows
 from headloom.plans.rules import RANK
 
-N = F.count(F.lit(1))
+
+def rows_in() -> Column:
+    return F.count(F.lit(1))
+
 UNMATCHED = "__unmatched__"
 
 
 def total_responses(e: DataFrame) -> DataFrame:
-    return e.agg(N.alias("responses"))
+    return e.agg(rows_in().alias("responses"))
 
 
 def field_counts(e: DataFrame) -> DataFrame:
     """Occurrences of each header name."""
-    return header_rows(e).groupBy("name").agg(N.alias("occ"))
+    return header_rows(e).groupBy("name").agg(rows_in().alias("occ"))
 
 
 def unregistered(e: DataFrame) -> DataFrame:
     """Responses that carry each unregistered name; names that the crawler adds don't count."""
     rows = e.select(F.explode(F.array_distinct(H.names(F.col("headers")))).alias("name"))
-    return rows.filter(~H.is_registered(F.col("name")) & ~H.from_crawler(F.col("name"))).groupBy("name").agg(N.alias("responses"))
+    return rows.filter(~H.is_registered(F.col("name")) & ~H.from_crawler(F.col("name"))).groupBy("name").agg(rows_in().alias("responses"))
 
 
 def severity(e: DataFrame) -> DataFrame:
@@ -35,7 +38,7 @@ def severity(e: DataFrame) -> DataFrame:
     most = F.array_max(F.transform("notes", lambda n: F.coalesce(F.try_element_at(rank, n["level"]), F.lit(0))))
     names = F.create_map(*[F.lit(x) for k, v in RANK.items() for x in (v, k)])
     label = F.coalesce(F.try_element_at(names, most), F.lit("clean"))
-    return e.select(label.alias("severity")).groupBy("severity").agg(N.alias("responses"))
+    return e.select(label.alias("severity")).groupBy("severity").agg(rows_in().alias("responses"))
 
 
 def header_bytes(e: DataFrame) -> DataFrame:
@@ -56,7 +59,7 @@ def total_header_bytes(e: DataFrame) -> DataFrame:
 def block_histogram(e: DataFrame) -> DataFrame:
     """Responses by the size of their header block."""
     rows = _block(e).select(T.bucket(F.col("bytes"), T.BYTES).alias("bucket"))
-    return rows.groupBy("bucket").agg(N.alias("responses")).withColumn("ord", T.bucket_rank(F.col("bucket"), T.BYTES))
+    return rows.groupBy("bucket").agg(rows_in().alias("responses")).withColumn("ord", T.bucket_rank(F.col("bucket"), T.BYTES))
 
 
 def category_bytes(e: DataFrame) -> DataFrame:
@@ -74,20 +77,20 @@ def policy_sizes(e: DataFrame) -> DataFrame:
 
 
 def policy_buckets(e: DataFrame) -> DataFrame:
-    return policy_sizes(e).groupBy(T.policy_bucket(F.col("size")).alias("bucket")).agg(N.alias("sites"))
+    return policy_sizes(e).groupBy(T.policy_bucket(F.col("size")).alias("bucket")).agg(rows_in().alias("sites"))
 
 
 def layer_counts(e: DataFrame) -> DataFrame:
     """Responses by layer; a response may have several, and ``__unmatched__`` has none."""
-    return e.select(F.explode_outer("layers").alias("l")).groupBy(F.coalesce("l", F.lit(UNMATCHED)).alias("layer")).agg(N.alias("responses"))
+    return e.select(F.explode_outer("layers").alias("l")).groupBy(F.coalesce("l", F.lit(UNMATCHED)).alias("layer")).agg(rows_in().alias("responses"))
 
 
 def field_by_layer(e: DataFrame) -> DataFrame:
-    return header_rows(e).select("name", F.explode("layers").alias("layer")).groupBy("name", "layer").agg(N.alias("occ"))
+    return header_rows(e).select("name", F.explode("layers").alias("layer")).groupBy("name", "layer").agg(rows_in().alias("occ"))
 
 
 def asn_counts(e: DataFrame) -> DataFrame:
-    return e.filter("asn is not null").groupBy("asn").agg(N.alias("responses"))
+    return e.filter("asn is not null").groupBy("asn").agg(rows_in().alias("responses"))
 
 
 def value_histograms(e: DataFrame) -> DataFrame:
@@ -125,4 +128,4 @@ def value_histograms(e: DataFrame) -> DataFrame:
     rows = [F.transform(v, named(k)) for k, v in found.items()]
     rows = e.select(F.explode(F.concat(*rows)).alias("r")).filter("r.x is not null")
     rows = rows.select("r.histogram", T.bucket(F.col("r.x"), T.LIFETIME).alias("bucket"))
-    return rows.groupBy("histogram", "bucket").agg(N.alias("occ"))
+    return rows.groupBy("histogram", "bucket").agg(rows_in().alias("occ"))

@@ -10,16 +10,19 @@ from headloom.functions import text as T
 from headloom.plans import rules
 from headloom.plans.enrich import note_rows
 
-N = F.count(F.lit(1))
+
+def rows_in() -> Column:
+    return F.count(F.lit(1))
+
 COOCCUR = ("bad", "warn")
 
 
 def note_counts(e: DataFrame) -> DataFrame:
-    return note_rows(e).groupBy("note_id").agg(N.alias("occ"), F.countDistinct("site").alias("sites"))
+    return note_rows(e).groupBy("note_id").agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
 
 
 def note_by_layer(e: DataFrame) -> DataFrame:
-    return note_rows(e).select("note_id", F.explode("layers").alias("layer")).groupBy("note_id", "layer").agg(N.alias("occ"))
+    return note_rows(e).select("note_id", F.explode("layers").alias("layer")).groupBy("note_id", "layer").agg(rows_in().alias("occ"))
 
 
 def variable(name: Column, v: Column) -> Column:
@@ -48,7 +51,7 @@ def tracked(e: DataFrame) -> DataFrame:
 
 
 def note_vars(e: DataFrame) -> DataFrame:
-    return tracked(e).groupBy("note_id", "var", "val").agg(N.alias("occ"))
+    return tracked(e).groupBy("note_id", "var", "val").agg(rows_in().alias("occ"))
 
 
 def numeric_max(e: DataFrame) -> DataFrame:
@@ -90,17 +93,17 @@ def fired(e: DataFrame) -> DataFrame:
 
 
 def note_bundles(e: DataFrame) -> DataFrame:
-    return fired(e).groupBy(H.bundle(F.col("ids")).alias("bundle")).agg(N.alias("occ"), F.countDistinct("site").alias("sites"))
+    return fired(e).groupBy(H.bundle(F.col("ids")).alias("bundle")).agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
 
 
 def note_marginals(e: DataFrame) -> DataFrame:
-    return fired(e).select("site", F.explode("ids").alias("note_id")).groupBy("note_id").agg(N.alias("occ"), F.countDistinct("site").alias("sites"))
+    return fired(e).select("site", F.explode("ids").alias("note_id")).groupBy("note_id").agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
 
 
 def note_pairs(e: DataFrame) -> DataFrame:
     """Findings that occur together; a finding and its ancestor don't pair."""
     rows = fired(e).select("site", F.explode(F.array_except(H.pairs(F.col("ids")), F.col("lineage"))).alias("pair"))
-    return rows.groupBy("pair").agg(N.alias("occ"), F.countDistinct("site").alias("sites"))
+    return rows.groupBy("pair").agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
 
 
 def unseen(e: DataFrame) -> DataFrame:
@@ -113,8 +116,8 @@ def unseen(e: DataFrame) -> DataFrame:
 def by_category(e: DataFrame) -> DataFrame:
     """Occurrences, share and number of note ids by category."""
     info = e.sparkSession.createDataFrame([(r.id, r.category, r.level) for r in rules.rules()], "note_id string, category string, level string")
-    rows = note_rows(e).groupBy("note_id").agg(N.alias("occ")).join(F.broadcast(info), "note_id", "left")
-    rows = rows.groupBy(F.coalesce("category", F.lit("UNCATEGORIZED")).alias("category")).agg(F.sum("occ").alias("occ"), N.alias("types"))
+    rows = note_rows(e).groupBy("note_id").agg(rows_in().alias("occ")).join(F.broadcast(info), "note_id", "left")
+    rows = rows.groupBy(F.coalesce("category", F.lit("UNCATEGORIZED")).alias("category")).agg(F.sum("occ").alias("occ"), rows_in().alias("types"))
     total = F.sum("occ").over(Window.partitionBy())
     return rows.withColumn("share", F.round(F.col("occ") * 100.0 / total, 6))
 
@@ -133,5 +136,5 @@ def layer_rates(e: DataFrame) -> DataFrame:
     from headloom.operators.counters import layer_counts
 
     rows = note_by_layer(e)
-    total = rows.join(note_rows(e).groupBy("note_id").agg(N.alias("total")), "note_id").join(layer_counts(e), "layer", "left")
+    total = rows.join(note_rows(e).groupBy("note_id").agg(rows_in().alias("total")), "note_id").join(layer_counts(e), "layer", "left")
     return total.select("note_id", "layer", "occ", F.round(F.try_divide(F.col("occ") * 100.0, F.col("total")), 6).alias("share"), F.round(F.try_divide(F.col("occ") * 100.0, F.col("responses")), 6).alias("rate"))

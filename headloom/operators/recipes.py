@@ -9,18 +9,21 @@ from headloom import config
 from headloom.functions import headers as H
 from headloom.functions import hll
 
-N = F.count(F.lit(1))
+
+def rows_in() -> Column:
+    return F.count(F.lit(1))
+
 
 
 def recipes(e: DataFrame, tokens: Column) -> DataFrame:
     """Responses and distinct sites of each recipe; an empty one doesn't count."""
     rows = e.select("site", H.recipe(tokens).alias("recipe")).filter("recipe <> ''")
-    return rows.groupBy("recipe").agg(N.alias("occ"), F.countDistinct("site").alias("sites"))
+    return rows.groupBy("recipe").agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
 
 
 def marginals(e: DataFrame, tokens: Column) -> DataFrame:
     rows = e.select("site", F.explode(F.array_distinct(tokens)).alias("token"))
-    return rows.groupBy("token").agg(N.alias("occ"), F.countDistinct("site").alias("sites"))
+    return rows.groupBy("token").agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
 
 
 def site_estimates(e: DataFrame, tokens: Column, p: int = hll.RECIPE) -> DataFrame:
@@ -43,7 +46,7 @@ def factor_out(e: DataFrame, tokens: Column, drop: str, label: str) -> DataFrame
     whole = H.recipe(tokens)
     rest = H.recipe(F.array_remove(tokens, drop))
     rows = e.filter(whole != "").select("site", F.when(rest == "", label).otherwise(rest).alias("recipe"))
-    return rows.groupBy("recipe").agg(N.alias("occ"), F.countDistinct("site").alias("sites"))
+    return rows.groupBy("recipe").agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
 
 
 def vary_factored(e: DataFrame) -> DataFrame:

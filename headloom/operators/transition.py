@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from headloom.functions import headers as H
 
-N = F.count(F.lit(1))
+
+def rows_in() -> Column:
+    return F.count(F.lit(1))
+
 CATEGORIES = ["both", "modern_only", "legacy_only", "neither"]
 
 
@@ -36,7 +39,7 @@ def categories(e: DataFrame) -> DataFrame:
 
 
 def counts(e: DataFrame) -> DataFrame:
-    return categories(e).groupBy("pair", "category").agg(N.alias("occ"))
+    return categories(e).groupBy("pair", "category").agg(rows_in().alias("occ"))
 
 
 def rows(e: DataFrame) -> DataFrame:

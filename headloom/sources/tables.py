@@ -11,7 +11,7 @@ def top_sites(spark: SparkSession, path: str, limit: int) -> DataFrame:
     lines = spark.read.text(path, wholetext=False).withColumn("at", F.monotonically_increasing_id())
     first = lines.orderBy("at").limit(limit)
     parts = F.split(F.trim("value"), ",")
-    return first.filter(F.size(parts) >= 2).select(parts[1].alias("site")).distinct()
+    return first.filter(F.size(parts) >= 2).select(F.get(parts, 1).alias("site")).distinct()
 
 
 def parse_v4(ip: Column) -> Column:
@@ -19,7 +19,7 @@ def parse_v4(ip: Column) -> Column:
     part = r"(0|[1-9]\d{0,2})"
     ok = ip.rlike(rf"^{part}\.{part}\.{part}\.{part}$")
     n = F.transform(F.split(ip, r"\."), lambda x: x.try_cast("long"))
-    value = n[0] * 16777216 + n[1] * 65536 + n[2] * 256 + n[3]
+    value = F.get(n, 0) * 16777216 + F.get(n, 1) * 65536 + F.get(n, 2) * 256 + F.get(n, 3)
     return F.when(ok & F.forall(n, lambda x: x <= 255), value)
 
 
@@ -56,7 +56,7 @@ def prefixes(lines: DataFrame) -> DataFrame:
     host bits are masked, and of several AS numbers the first counts."""
     parts = F.split(F.trim("value"), "\t")
     rows = lines.withColumn("at", F.monotonically_increasing_id()).filter(~F.trim("value").startswith("#") & (F.size(parts) >= 3))
-    rows = rows.select("at", parts[0].alias("p"), parts[1].try_cast("int").alias("len"), F.regexp_extract(parts[2], r"(\d+)", 1).try_cast("long").alias("asn"))
+    rows = rows.select("at", F.get(parts, 0).alias("p"), F.get(parts, 1).try_cast("int").alias("len"), F.regexp_extract(F.get(parts, 2), r"(\d+)", 1).try_cast("long").alias("asn"))
     v4, v6 = parse_v4(F.col("p")), parse_v6(F.col("p"))
     four = v4.isNotNull() & F.col("len").between(0, 32)
     six = v6.isNotNull() & F.col("len").between(0, 128)
