@@ -10,10 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _U = np.uint64
+ARROW_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Texts are long: Arrow batches of a few MB keep a task's memory small. Queries and stages begin with this."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -21,7 +21,7 @@ BYTE_VOCAB, WORD_VOCAB = "byte_bpe_50k.json", "word_bpe_49k.json"
 _BLANK = r"[\s\x0b\x{85}\p{Z}]"
 _SLICE_BYTES = 4 << 20
 _CUT = "\x1f"  # texts that hold it are encoded whole
-_CACHE_PIECES = 700_000
+_CACHE_PIECES = 500_000
 _BATCH = 4096
 
 
