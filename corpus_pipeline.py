@@ -6,26 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headloom.llm import exact_dedup, mixing, near_dedup, packing, quality
-from headloom.llm.common import read_table, staged
+from headloom.llm.common import read_table, staged, tuned
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    tuned(spark)
     return quality.drop_low_quality(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
+    tuned(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
+    tuned(spark)
     return near_dedup.drop_near_duplicates(docs, shingle=5)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the schedule that mixes the sources."""
+    tuned(spark)
     order = mixing.mix(docs).groupBy("doc_id").agg(F.min("position").alias("_position"))
     put = docs.join(order.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return put.sort("_position").select(*[docs[c] for c in docs.columns])
@@ -33,6 +37,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of at most 4096 tokens, with their ids."""
+    tuned(spark)
     return packing.pack(docs)
 
 
