@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from headloom.llm.common import _SPACE, mix, prefix_sums, range_hash, read_table
 
 SAMPLE_DOCS = 4000
-THRESHOLD = 0.5
+THRESHOLD = 0.2  # four to one against: losing a good document costs more than keeping a poor one
 FEATURES = 1024
 LABELLERS = ("symbols", "shouting", "top_word", "separators", "short_words", "exclaiming", "repeats", "runs")
 ENOUGH_WORDS = 20

@@ -14,7 +14,7 @@ def test_stages(spark, tmp_path):
         if i < 4:
             assert docs.columns == columns
         if i == 0:
-            kept = {r.doc_id for r in quality.with_quality(before, "q").filter("q >= 0.5").collect()}
+            kept = {r.doc_id for r in quality.with_quality(before, "q").filter(f"q >= {quality.THRESHOLD}").collect()}
         if i == 1:
             kept = {r.doc_id for r in exact_dedup.exact_duplicates(before).filter("kept").collect()}
         if i == 2:
