@@ -51,6 +51,24 @@ def best_pattern(prices: np.ndarray, units: int) -> tuple[float, np.ndarray]:
     return float(worth[units]), pattern
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan by rows. A threaded LAPACK may hang in a driver that has forked its JVM after loading numpy."""
+    n = len(matrix)
+    both = np.concatenate((matrix.astype(float), np.eye(n)), 1)
+    for i in range(n):
+        top = i + int(np.argmax(np.abs(both[i:, i])))
+        both[[i, top]] = both[[top, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        both -= factor[:, None] * both[i]
+    return both[:, n:]
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", matrix, vector)
+
+
 def solve_patterns(demand: np.ndarray, steps: int = 3000) -> list[tuple[int, np.ndarray]]:
     """(how often, pattern) such that each class is used as often as demanded; ``demand[c - 1]``: items of c units."""
     units = len(demand)
@@ -59,9 +77,8 @@ def solve_patterns(demand: np.ndarray, steps: int = 3000) -> list[tuple[int, np.
     live = np.flatnonzero(demand)
     if len(live):
         basis = [np.bincount([c], minlength=units) * (units // (c + 1)) for c in live]
-        matrix = np.array(basis, float).T[live]
-        inverse = np.linalg.inv(matrix)
-        amount = inverse @ demand[live].astype(float)
+        inverse = np.diag(1.0 / (units // (live + 1)))
+        amount = _times(inverse, demand[live].astype(float))
         for step in range(steps):
             prices = np.zeros(units)
             prices[live] = np.maximum(inverse.sum(0), 0)
@@ -69,7 +86,7 @@ def solve_patterns(demand: np.ndarray, steps: int = 3000) -> list[tuple[int, np.
             if worth <= 1 + 1e-7:
                 break
             pattern[demand == 0] = 0
-            move = inverse @ pattern[live]
+            move = _times(inverse, pattern[live].astype(float))
             ratio = np.where(move > 1e-9, amount / np.where(move > 1e-9, move, 1), np.inf)
             out_row = int(np.argmin(ratio))
             if not np.isfinite(ratio[out_row]):
@@ -77,12 +94,12 @@ def solve_patterns(demand: np.ndarray, steps: int = 3000) -> list[tuple[int, np.
             amount = np.maximum(amount - ratio[out_row] * move, 0)
             amount[out_row] = ratio[out_row]
             basis[out_row] = pattern
-            if step % 50 == 49:
-                inverse = np.linalg.inv(np.array(basis, float).T[live])
-                amount = np.maximum(inverse @ demand[live].astype(float), 0)
+            if step % 100 == 99:
+                inverse = _inverse(np.array(basis, float).T[live])
+                amount = np.maximum(_times(inverse, demand[live].astype(float)), 0)
             else:
                 row = inverse[out_row] / move[out_row]
-                inverse = inverse - np.outer(move, row)
+                inverse = inverse - move[:, None] * row
                 inverse[out_row] = row
         for x, pattern in zip(amount, basis, strict=True):
             used = pattern > 0
