@@ -139,8 +139,15 @@ for _axis in ("vendor", "family", "prefix"):
         lambda e, axis=_axis: census.clusters(census.entries(e), axis, "cluster"),
         f", {_CENSUS}, r AS (SELECT *, row_number() OVER (PARTITION BY {_axis} ORDER BY responses DESC, name) AS nth FROM cen) SELECT {_axis} AS cluster, count(*) AS names, CAST(sum(responses) AS BIGINT) AS responses, CAST(sum(bytes) AS BIGINT) AS bytes, string_agg(name, ', ' ORDER BY nth) FILTER (nth <= 8) AS members FROM r GROUP BY 1",
     )
+def _trimmed(e: DataFrame) -> DataFrame:
+    """The ten commonest headers, and what the cut leaves out."""
+    counts = counters.field_counts(e)
+    n, truncated = ranking.cut(counts, 10).first()
+    return ranking.top(counts, 10, "occ", "name").withColumns({"n_total": F.lit(n).cast("long"), "truncated": F.lit(truncated)})
+
+
 _of("census_top", lambda e: ranking.top(census.entries(e).select("name", "responses"), 10, "responses", "name"), f", {_CENSUS} SELECT name, responses FROM cen ORDER BY responses DESC, name LIMIT 10")
-_of("trim_topk", lambda e: ranking.top(counters.field_counts(e), 10, "occ", "name").crossJoin(F.broadcast(ranking.cut(counters.field_counts(e), 10))), "SELECT name, count(*) AS occ, (SELECT count(DISTINCT name) FROM hdr) AS n_total, (SELECT count(DISTINCT name) > 10 FROM hdr) AS truncated FROM hdr GROUP BY name ORDER BY occ DESC, name LIMIT 10")
+_of("trim_topk", _trimmed, "SELECT name, count(*) AS occ, (SELECT count(DISTINCT name) FROM hdr) AS n_total, (SELECT count(DISTINCT name) > 10 FROM hdr) AS truncated FROM hdr GROUP BY name ORDER BY occ DESC, name LIMIT 10")
 _of("trim_semi", lambda e: ranking.surviving(counters.field_by_layer(e), ranking.top(counters.field_counts(e), 10, "occ", "name"), ["name"]), "SELECT name, layer, count(*) AS occ FROM hdr JOIN lay USING (resp_id) WHERE name IN (SELECT name FROM (SELECT name, count(*) AS c FROM hdr GROUP BY name ORDER BY c DESC, name LIMIT 10)) GROUP BY 1, 2")
 _of("pragma_token", lambda e: e.select("resp_id", H.pragma_no_cache(F.col("headers")).alias("no_cache")), "SELECT resp_id, k IN (2, 11) AS no_cache FROM resp")
 _of("csp_directives", lambda e: e.select(F.explode(F.array_distinct(H.csp_directives(F.col("headers")))).alias("directive")).groupBy("directive").agg(F.count(F.lit(1)).alias("responses")), "SELECT directive, count(*) AS responses FROM resp JOIN (VALUES (1, 'default-src'), (1, 'frame-ancestors'), (3, 'script-src'), (3, 'frame-ancestors'), (9, 'upgrade-insecure-requests')) d(k, directive) USING (k) GROUP BY directive")

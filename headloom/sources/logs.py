@@ -38,3 +38,27 @@ def mappers(lines: DataFrame) -> DataFrame:
         F.sum("total_ms").alias("warc_total_ms"), F.sum("process_ms").alias("process_ms"), F.sum("iterator_ms").alias("iterator_ms"), F.sum("records").alias("records"), F.count(F.lit(1)).alias("warcs")
     )
     return sums.join(lines.groupBy("container").agg(start, jitter), "container", "left").na.fill(0, ["init_ms", "jitter_ms"])
+
+
+def slowest(lines: DataFrame, n: int = 10) -> DataFrame:
+    """The archives that took longest."""
+    return finished(lines).orderBy(F.desc("total_ms"), "path").limit(n)
+
+
+def summary(lines: DataFrame) -> DataFrame:
+    """metric, sum, mean, median, p90, p99, max over finished archives."""
+    from headloom.operators.timing import summary as spread
+
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("x")) for c in ("records", "total_ms", "process_ms", "iterator_ms")]))
+    return spread(finished(lines).select(each.alias("m")).select("m.metric", "m.x"), ["metric"], "x")
+
+
+def processing_share(lines: DataFrame) -> DataFrame:
+    """Per cent of the archives' time that went into processing; 0 where there is none."""
+    return finished(lines).agg(F.coalesce(F.try_divide(F.sum("process_ms") * 100.0, F.sum("total_ms")), F.lit(0.0)).alias("pct"))
+
+
+def failures_by_kind(lines: DataFrame) -> DataFrame:
+    from headloom.functions.text import failure
+
+    return failed(lines).groupBy(failure(F.col("exit_code").try_cast("int")).alias("kind")).count()

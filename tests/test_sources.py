@@ -2,7 +2,6 @@ import gzip
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from headloom import config
 from headloom.sources import logs, paths, tables, wat
@@ -62,6 +61,9 @@ def test_logs(spark, tmp_path):
     assert {tuple(r) for r in logs.failed(found).collect()} == {("c2", "d", "-9", "9"), ("c2", "f", "1", "")}
     assert tuple(logs.timed_out(found).first()) == ("c2", "e", 900)
     (m,) = logs.mappers(found).collect()
+    assert [r.path for r in logs.slowest(found, 1).collect()] == ["a/b"] and logs.processing_share(found).first().pct == 55.0
+    assert {r.metric: r.max for r in logs.summary(found).collect()} == {"records": 5, "total_ms": 30, "process_ms": 20, "iterator_ms": 7}
+    assert {r.kind: r["count"] for r in logs.failures_by_kind(found).collect()} == {"warc_signal_sigkill": 1, "warc_exit_nonzero": 1}
     assert (m.container, m.warc_total_ms, m.init_ms, m.jitter_ms, m.warcs) == ("c1", 40, 12, 1500, 2)
 
 
@@ -87,4 +89,3 @@ def test_alphabet(tmp_path):
             config.parse_alphabet(bad)
     (tmp_path / "a.toml").write_text('headers = ["x"]')
     assert config.alphabet(str(tmp_path / "a.toml")) == ("x",) and len(config.alphabet()) == 16
-    assert F is not None
