@@ -112,6 +112,7 @@ _of("note_by_layer", findings.note_by_layer, "SELECT note_id, layer, count(*) AS
 _of("note_vars", findings.note_vars, "SELECT note_id, var, val, count(*) AS occ FROM vars GROUP BY ALL")
 _of("note_categories", findings.by_category, "SELECT category, CAST(sum(occ) AS BIGINT) AS occ, count(*) AS types, round(sum(occ) * 100.0 / sum(sum(occ)) OVER (), 6) AS share FROM (SELECT note_id, count(*) AS occ, CASE WHEN note_id LIKE 'VARY%' THEN 'CONNEG' WHEN note_id LIKE '%CC%' OR note_id LIKE 'FRESH%' THEN 'CACHING' WHEN note_id LIKE 'HSTS%' OR note_id LIKE 'CSP%' OR note_id LIKE 'CONTENT_SEC%' OR note_id LIKE 'CROSS%' THEN 'SECURITY' WHEN note_id LIKE 'SET_COOKIE%' THEN 'COOKIES' ELSE 'GENERAL' END AS category FROM notes GROUP BY note_id) GROUP BY category")
 _of("note_samples", findings.note_samples, "SELECT note_id, site, url, rank FROM (SELECT note_id, site, min(url) AS url, CAST(row_number() OVER (PARTITION BY note_id ORDER BY min(url)) AS INTEGER) AS rank FROM notes GROUP BY 1, 2) WHERE rank <= 5")
+_of("sample_gate", lambda e: findings.note_samples(e, e.filter("site LIKE 'm.%'")), "SELECT note_id, site, url, rank FROM (SELECT note_id, site, min(url) AS url, CAST(row_number() OVER (PARTITION BY note_id ORDER BY min(url)) AS INTEGER) AS rank FROM notes WHERE site LIKE 'm.%' GROUP BY 1, 2) WHERE rank <= 5")
 _of("var_samples", lambda e: findings.var_samples(e).select("note_id", "var", "val", "site", "url", "rank"), "SELECT note_id, var, val, site, url, rank FROM (SELECT note_id, var, val, site, min(url) AS url, CAST(row_number() OVER (PARTITION BY note_id, var, val ORDER BY min(url)) AS INTEGER) AS rank FROM vars WHERE var = 'field_name' GROUP BY 1, 2, 3, 4) WHERE rank <= 15")
 _of("note_bundles", findings.note_bundles, f"SELECT bundle, count(*) AS occ, {_SITES} FROM (SELECT r.resp_id, r.site, coalesce(string_agg(note_id, ', ' ORDER BY note_id), '(none)') AS bundle FROM resp r LEFT JOIN fired f ON f.resp_id = r.resp_id GROUP BY 1, 2) GROUP BY bundle")
 _of("note_marginals", findings.note_marginals, f"SELECT note_id, count(*) AS occ, {_SITES} FROM fired GROUP BY note_id")
