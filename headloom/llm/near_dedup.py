@@ -12,8 +12,9 @@ bucket that could join components goes untested, and only links come out. Every
 intersection and union of the two sets. Last, components of the links are found by star steps.
 
 Edge cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer words
-than a shingle make one shingle. A row with a null id can't be named: it stays, without a component. Rows
-that repeat an id share its fate. Only id and text are read. An empty table gives no rows.
+than a shingle make one shingle. A row with a null id can't be named: it stays, and shows the component of
+documents with the same set, if there are any. Rows that repeat an id share its fate. Only id and text are
+read. An empty table gives no rows.
 """
 
 from __future__ import annotations
