@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from headloom.llm.common import read_table, staged
-from headloom.llm.tokens import WORD_VOCAB, encoder
+from headloom.llm.tokens import PIECES, WORD_VOCAB, encoder
 
 CAPACITY = 4096
 WIDTH = 16
@@ -118,7 +118,7 @@ def solve_patterns(demand: np.ndarray, steps: int = 3000) -> list[tuple[int, np.
     return out
 
 
-def token_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, width: int, vocab: str, end_id: int) -> DataFrame:
+def token_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, width: int, vocab: str, end_id: int, known: int = PIECES) -> DataFrame:
     """One row per piece, with its ids (binary, little-endian unsigned 32-bit), class, part and rank in (class, part)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, width
         part, seen = TaskContext.get().partitionId(), [0] * (capacity // width + 1)
         for batch in batches:
             doc_ids, held, room = batch.column("doc_id").to_pylist(), [], 0
-            for i, ids in encoder(vocab).documents(batch, "text", end_id):
+            for i, ids in encoder(vocab, known).documents(batch, "text", end_id):
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
                     data = piece.astype("<u4").tobytes()
@@ -152,11 +152,12 @@ def _table(held: list[tuple]) -> pa.RecordBatch:
 
 
 def pack(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, width: int = WIDTH, vocab: str = WORD_VOCAB, end_id: int = END_ID
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, width: int = WIDTH, vocab: str = WORD_VOCAB, end_id: int = END_ID, known: int = PIECES
 ) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids."""
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids. ``known``: encoded pieces that a worker
+    keeps, which trades memory for time."""
     spark = df.sparkSession
-    pieces = staged(token_pieces(df, id_col, text_col, capacity, width, vocab, end_id), "pieces")
+    pieces = staged(token_pieces(df, id_col, text_col, capacity, width, vocab, end_id, known), "pieces")
     counts = staged(pieces.groupBy("kind", "part").count(), "piece-counts")
     sums = dict(counts.groupBy("kind").agg(F.sum("count")).collect())  # a row a class
     full, units = sums.get(0, 0), capacity // width

@@ -21,12 +21,13 @@ BYTE_VOCAB, WORD_VOCAB = "byte_bpe_50k.json", "word_bpe_49k.json"
 _BLANK = r"[\s\x0b\x{85}\p{Z}]"
 _SLICE_BYTES = 4 << 20
 _CUT = "\x1f"  # texts that hold it are encoded whole
-_CACHE_PIECES = 700_000
+PIECES = 700_000  # known pieces a worker keeps; about 200 bytes each
 _BATCH = 4096
 
 
 class Encoder:
-    def __init__(self, vocab: str):
+    def __init__(self, vocab: str, pieces: int = PIECES):
+        self.limit = pieces
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -36,7 +37,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         drops_space = "word_bpe" in os.path.basename(path)
         self.odd = _CUT if drops_space else f"{_CUT}|{_BLANK}{{3}}|{_BLANK}{{2}}$"
-        self.known: dict[str, int] = {}  # piece -> where in starts and sizes; the first _CACHE_PIECES seen
+        self.known: dict[str, int] = {}  # piece -> where in starts and sizes; the first ``pieces`` seen
         self.flat, self.starts, self.sizes = (np.zeros(0, t) for t in (np.uint32, np.int64, np.int64))
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -54,7 +55,7 @@ class Encoder:
         starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
         sizes = np.concatenate((self.sizes, sizes))
         at[new] = len(self.starts) + np.arange(len(new))
-        if len(self.known) < _CACHE_PIECES:
+        if len(self.known) < self.limit:
             self.known.update(zip(fresh, range(len(self.starts), len(starts)), strict=True))
             self.flat, self.starts, self.sizes = flat, starts, sizes
         return flat, starts[at], sizes[at]
@@ -99,7 +100,7 @@ class Encoder:
             begin = stop
 
 
-@lru_cache(maxsize=2)
-def encoder(vocab: str) -> Encoder:
+@lru_cache(maxsize=1)
+def encoder(vocab: str, pieces: int = PIECES) -> Encoder:
     """One for each worker process, so that what it has learnt serves the tasks to come."""
-    return Encoder(vocab)
+    return Encoder(vocab, pieces)
