@@ -38,7 +38,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of at most 4096 tokens, with their ids."""
     tuned(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, known=150_000)  # workers serve the other stages too
 
 
 STAGES = [
