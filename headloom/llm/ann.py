@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from headloom.llm.common import mix, read_table, staged
+from headloom.llm.common import mix, read_table, staged, trimmed
 
 TABLES, DIRECTIONS, STEP, PROBES = 6, 6, 2.0, 96
 SAMPLE = 2000
@@ -108,8 +108,8 @@ def nearest(
                 yield pa.record_batch([pa.array(key.ravel()), batch.column("vec_id").take(pa.array(who)), batch.column("v").take(pa.array(who))], ["cell", "id", "v"])
 
     shape = "cell long, id long, v array<double>"
-    entries = staged(indexed.mapInArrow(index, shape), "ann-index")
-    visits = asked.mapInArrow(ask, shape)
+    entries = staged(indexed.mapInArrow(trimmed(index), shape), "ann-index")
+    visits = asked.mapInArrow(trimmed(ask), shape)
     sizes = entries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("blocks"))
     dealt = entries.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "id", "v")
     visits = visits.join(sizes, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "id", "v")
@@ -143,7 +143,7 @@ def nearest(
                 yield pa.record_batch([np.concatenate(c) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     blocks = dealt.unionByName(visits).repartition("cell", "block").sortWithinPartitions("cell", "block", "side")
-    found = blocks.mapInArrow(search, "query_id long, vec_id long, score double").distinct()
+    found = blocks.mapInArrow(trimmed(search), "query_id long, vec_id long, score double").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

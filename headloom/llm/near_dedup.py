@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headloom.llm.common import mix, read_table, shingle_hashes, staged, word_hashes
+from headloom.llm.common import mix, read_table, shingle_hashes, staged, trimmed, word_hashes
 from headloom.llm.components import components
 
 PERMUTATIONS = 48
@@ -94,7 +94,7 @@ def describe(df: DataFrame, shingle: int = SHINGLE, rows: int = ROWS) -> DataFra
                 ["doc_id", "n", "set_key", "set_check", "bands"],
             )
 
-    return df.mapInArrow(run, "doc_id long, n long, set_key long, set_check long, bands array<long>")
+    return df.mapInArrow(trimmed(run), "doc_id long, n long, set_key long, set_check long, bands array<long>")
 
 
 def shingle_sets(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -107,7 +107,7 @@ def shingle_sets(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 found = [x.tobytes() for x in _sets(part, shingle)]
                 yield pa.record_batch([part.column("doc_id"), pa.array(found, pa.binary())], ["id", "words"])
 
-    return df.mapInArrow(run, "id long, words binary")
+    return df.mapInArrow(trimmed(run), "id long, words binary")
 
 
 _Member = tuple[int, int, np.ndarray]  # id, label, set
@@ -170,7 +170,7 @@ def verified(targets: DataFrame, queries: DataFrame, sets: DataFrame, percent: i
 
     rows = dealt(targets, 0).unionByName(dealt(queries, 1)).join(sets, "id")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return rows.select("key", "i", "j", "side", "id", "label", "words").mapInArrow(run, "a long, b long")
+    return rows.select("key", "i", "j", "side", "id", "label", "words").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from headloom.llm.common import read_table, staged
+from headloom.llm.common import read_table, staged, trimmed
 from headloom.llm.tokens import PIECES, WORD_VOCAB, encoder
 
 CAPACITY = 4096
@@ -142,7 +142,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, width
                 yield _table(held)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind int, part int, nth long, ids binary")
+    return rows.mapInArrow(trimmed(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind int, part int, nth long, ids binary")
 
 
 def _table(held: list[tuple]) -> pa.RecordBatch:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headloom.llm.common import _SPACE, mix, prefix_sums, range_hash, read_table
+from headloom.llm.common import _SPACE, give_back, mix, prefix_sums, range_hash, read_table
 
 SAMPLE_DOCS = 4000
 THRESHOLD = 0.2  # four to one against: losing a good document costs more than keeping a poor one
@@ -108,7 +108,9 @@ def vote_pattern(text):
     @F.arrow_udf("int")
     def pattern(column: pa.Array) -> pa.Array:
         base = 3 ** np.arange(len(LABELLERS))
-        return pa.array([int(((votes(w) + 1) * base).sum()) for w in _texts(column)], pa.int32())
+        out = [int(((votes(w) + 1) * base).sum()) for w in _texts(column)]
+        give_back()
+        return pa.array(out, pa.int32())
 
     return pattern(text)
 
@@ -180,6 +182,7 @@ def with_quality(df: DataFrame, name: str, id_col: str = "doc_id", text_col: str
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
         out = [1.0 if w.n < ENOUGH_WORDS else 1 / (1 + np.exp(-np.clip(features(w) @ weights, -30, 30))) for w in _texts(column)]
+        give_back()
         return pa.array(out, pa.float64())
 
     return df.withColumn(name, score(F.col(text_col)))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headloom.llm.common import mix, prefix_sums, range_hash, read_table, staged
+from headloom.llm.common import mix, prefix_sums, range_hash, read_table, staged, trimmed
 
 LENGTH, GRAM = 400, 64
 MANY_WINDOWS = 2_000_000
@@ -84,7 +84,7 @@ def sampled(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     columns = [part.column("doc").take(row), part.column("hash").take(row), seed, name, low.astype(np.int32), high.astype(np.int32), again]
                     yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["doc", "hash", "seed", "name", "low", "high", "again"])
 
-    return docs.mapInArrow(run, "doc long, hash long, seed long, name long, low int, high int, again boolean")
+    return docs.mapInArrow(trimmed(run), "doc long, hash long, seed long, name long, low int, high int, again boolean")
 
 
 def contexts(texts: DataFrame, length: int, most: int = 4096) -> DataFrame:
@@ -105,7 +105,7 @@ def contexts(texts: DataFrame, length: int, most: int = 4096) -> DataFrame:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                     yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["seed", "doc", "hash", "low", "body"])
 
-    return texts.mapInArrow(run, "seed long, doc long, hash long, low int, body binary")
+    return texts.mapInArrow(trimmed(run), "seed long, doc long, hash long, low int, body binary")
 
 
 def windows(data: np.ndarray, length: int) -> np.ndarray:
@@ -148,7 +148,7 @@ def twins(rows: DataFrame, length: int) -> DataFrame:
             yield _ranges(out)
 
     rows = rows.repartition("seed").sortWithinPartitions("seed").select("seed", "doc", "hash", "low", "body")
-    return rows.mapInArrow(run, "doc long, hash long, start int, end int")
+    return rows.mapInArrow(trimmed(run), "doc long, hash long, start int, end int")
 
 
 def _ranges(out: list[tuple]) -> pa.RecordBatch:
@@ -168,7 +168,7 @@ def counted_twins(rows: DataFrame, length: int) -> DataFrame:
                 start = np.arange(low, low + n, dtype=np.int32)
                 yield pa.record_batch([np.full(n, seed), x.view(np.int64), np.full(n, doc), np.full(n, key), start], ["seed", "w", "doc", "hash", "start"])
 
-    spread = rows.mapInArrow(run, "seed long, w long, doc long, hash long, start int")
+    spread = rows.mapInArrow(trimmed(run), "seed long, w long, doc long, hash long, start int")
     double = staged(spread.groupBy("seed", "w").count().filter("count > 1").select("seed", "w"), "double-windows")
     return spread.join(double, ["seed", "w"]).select("doc", "hash", "start", (F.col("start") + length).alias("end"))
 
@@ -194,7 +194,7 @@ def cut_repeats(texts: DataFrame) -> DataFrame:
                 if out:
                     yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return texts.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return texts.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY_WINDOWS) -> tuple[DataFrame, DataFrame]:

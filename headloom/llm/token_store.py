@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headloom.llm.common import read_table, running_start, shared_path, size_of
+from headloom.llm.common import read_table, running_start, shared_path, size_of, trimmed
 from headloom.llm.tokens import BYTE_VOCAB, encoder
 
 END_ID = 0
@@ -149,7 +149,7 @@ def write_tokens(
             files.move(draft, f"{base}/part-{part:06d}.ztok")  # one name for every attempt, with the same bytes
             yield pa.record_batch({"part": [part], "file": [f"part-{part:06d}.ztok"], "tokens": [tokens]})
 
-    listed = rows.mapInArrow(write, "part long, file string, tokens long")
+    listed = rows.mapInArrow(trimmed(write), "part long, file string, tokens long")
     listed.write.parquet(f"{path}-list")
     return spark.read.parquet(f"{path}-list")
 
@@ -176,7 +176,7 @@ def read_tokens(listed: DataFrame, path: str, wanted: list[int] | None = None) -
                         yield _rows(held)
 
     spread = starts.repartition(max(1, min(listed.count(), 100_000)))
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return spread.mapInArrow(trimmed(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(held: list[tuple]) -> pa.RecordBatch:
