@@ -100,11 +100,14 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns. Ids name documents; rows that repeat an id and
-    its text count as one."""
+    """The rows of ``df`` that stay, with all their columns. Ids name documents; rows that repeat an id, or the
+    null id, and its normalised text count as one."""
     ids, distinct = df.agg(F.count(F.lit(1)), F.countDistinct(id_col)).first()
-    if ids != distinct:
-        df = df.dropDuplicates([id_col, text_col])
+    if ids != distinct:  # (id, normalised text) names one row from here on, so no row that stays has a lost one's key
+        name = "_key"
+        while name in df.columns:
+            name += "_"
+        df = df.withColumn(name, F.sha2(normalised(text_col).cast("binary"), 256)).dropDuplicates([id_col, name]).drop(name)
     lost = staged(exact_duplicates(df, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_lost"), F.col("text_sha256").alias("_sha")), "lost")
     if ids == distinct:
         return df.join(lost, df[id_col].eqNullSafe(lost["_lost"]), "left_anti")

@@ -37,6 +37,13 @@ def test_exact_drop_keeps_columns(awkward, nothing):
     assert drop_exact_duplicates(nothing).count() == 0 and exact_duplicates(nothing).count() == 0
 
 
+def test_exact_drop_leaves_one_of_each_group(spark):
+    rows = [(None, "Hello"), (None, "hello"), (1, "World"), (1, "world"), (2, "One"), (2, "ONE"), (3, "one"), (None, "oNe"), (4, None), (4, "")]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, _key int").repartition(3)
+    found = [(r.doc_id, lowered(r.text)) for r in drop_exact_duplicates(df).collect()]
+    assert sorted(found, key=str) == sorted([(None, "hello"), (1, "world"), (3, "one"), (4, "")], key=str)
+
+
 def brute_near(rows, k):
     sets = {}
     for i, t in rows:
