@@ -71,3 +71,20 @@ def test_nearest_recall_and_order(spark):
     assert np.mean(hits) >= 0.9
     assert [v for *_, v in found[200]] == list(range(201, 211))
     assert nearest(df.filter("1 = 0"), df.filter("1 = 0")).count() == 0
+
+
+def test_nearest_small_tables_and_outliers(spark):
+    rng = np.random.default_rng(4)
+    shape = "vec_id long, embedding array<double>"
+    for n in (1, 8, 3000):
+        x = rng.normal(size=(n, 64))
+        x[: n // 100] *= np.array([3, 5, 1e160])[np.arange(n // 100) % 3, None]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], shape)
+        asked = list(range(min(n, 30)))
+        found = sorted((r.query_id, r["rank"], r.vec_id) for r in nearest(df, df.filter("vec_id < 30")).collect())
+        assert [f[:2] for f in found] == [(q, i) for q in asked for i in range(1, min(10, n - 1) + 1)]
+        for q in asked:
+            with np.errstate(over="ignore"):
+                d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            want = [i for i in np.lexsort((np.arange(n), d)).tolist() if i != q][:10]
+            assert [f[2] for f in found if f[0] == q] == want
