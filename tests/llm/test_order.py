@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from headloom.llm.ann import nearest
-from headloom.llm.mixing import mix, schedule, whole_parts, window_of
+from headloom.llm.mixing import block_slots, mix, schedule, whole_parts, window_of
 from headloom.llm.sharding import shard_by_rows, write_shuffled
 
 
@@ -33,6 +33,28 @@ def test_mix(spark, awkward, nothing):
     assert mix(awkward).count() == awkward.count() and mix(nothing).count() == 0
 
 
+def test_mix_keeps_the_given_weights(spark):
+    weights = {"a": 5000, "b": 3000, "c": 1999, None: 1}
+    blocks = {k: 6 * w for k, w in weights.items()}
+    found = sorted(block_slots(spark, weights, blocks, 512).collect(), key=lambda r: r.slot)
+    assert sorted((str(r.source), r.block) for r in found) == sorted((str(k), j) for k, n in blocks.items() for j in range(n))
+    for k, w in weights.items():
+        slots = np.array([r.slot for r in found if r.source == k])
+        assert [r.block for r in found if r.source == k] == list(range(blocks[k]))
+        done = np.arange(blocks[k])
+        assert (np.abs(10_000 * done - slots * w) < 10_000).all() and (np.abs(10_000 * (done + 1) - (slots + 1) * w) < 10_000).all()
+
+
+def test_mix_of_many_sources(spark):
+    weights = {f"s{i}": 1 + i % 7 * 0.37 for i in range(5000)} | {"big": 2000}
+    df = spark.range(24_000).selectExpr("id as doc_id", "if(id < 16000, 'big', concat('s', id % 5000)) as source")
+    found = mix(df, weights, block_docs=2).collect()
+    assert sorted(r.doc_id for r in found) == list(range(24_000)) and sorted(r.position for r in found) == list(range(24_000))
+    assert all(r.release <= r.slot < r.deadline for r in found)
+    total = sum(weights.values())
+    assert all(abs(r.block - r.slot * weights[r.source] / total) < 1 for r in found)
+
+
 def test_shards(spark, awkward, nothing, tmp_path):
     before = sorted(map(repr, awkward.collect()))
     path = f"file://{tmp_path}/s"
