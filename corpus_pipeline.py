@@ -27,18 +27,24 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.drop_near_duplicates(docs, shingle=5)
 
 
+def _schedule(docs: DataFrame) -> DataFrame:
+    return mixing.mix(docs).groupBy("doc_id").agg(F.min("position").alias("position"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the schedule that mixes the sources."""
     tuned(spark)
-    order = mixing.mix(docs).groupBy("doc_id").agg(F.min("position").alias("_position"))
-    put = docs.join(order.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    order = _schedule(docs).select(F.col("doc_id").alias("_id"), F.col("position").alias("_position"))
+    put = docs.join(order, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return put.sort("_position").select(*[docs[c] for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of at most 4096 tokens, with their ids."""
+    """The pieces of sequences of at most 4096 tokens, with their ids, in the order of the schedule. A table read
+    again has lost its order, but the schedule depends on ids and sources alone and is the same here."""
     tuned(spark)
-    return packing.pack(docs, known=150_000)  # workers serve the other stages too
+    order = staged(_schedule(docs), "order")
+    return packing.pack(docs, known=150_000, order=order)  # workers serve the other stages too
 
 
 STAGES = [

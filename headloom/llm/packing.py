@@ -8,6 +8,10 @@ and the solution is rounded down; the few items left over are packed greedily in
 Documents are ranked within their class without gathering the class anywhere, and the rank gives sequence
 and pattern slot by arithmetic on a table bounded by the number of classes.
 
+Where an order of the documents is given, ranks follow it, the slots of all patterns of a class are dealt out evenly
+along it, and sequences are numbered by the mean place of their tokens. So each run of sequence ids holds
+documents from about one stretch of the order.
+
 Edge cases: a null or empty text is its end id alone; null ids and repeated rows are packed like others; a
 document longer than a sequence is cut, and nothing else is; an empty table gives no pieces. Only id and text
 are read, so other columns may have any name.
@@ -23,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from headloom.llm.common import read_table, staged, trimmed
+from headloom.llm.common import read_table, running_start, staged, trimmed
 from headloom.llm.tokens import PIECES, WORD_VOCAB, encoder
 
 CAPACITY = 4096
 WIDTH = 16
 END_ID = 2
+_BUCKET_ROWS, _SLOT_ROWS = 20_000, 50_000
 
 
 def best_pattern(prices: np.ndarray, units: int) -> tuple[float, np.ndarray]:
@@ -151,11 +156,46 @@ def _table(held: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
 
+def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` (kind, bucket, ...) with their rank within the kind, by bucket and then ``by``."""
+    nth = F.row_number().over(Window.partitionBy("kind", "bucket").orderBy(*by)) - 1
+    before = Window.partitionBy("kind").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("kind", "bucket").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    return rows.withColumn("nth_", nth).join(bases, ["kind", "bucket"]).withColumn("rank", F.col("base") + F.col("nth_")).drop("base", "nth_", "bucket")
+
+
+def _in_order(pieces: DataFrame, order: DataFrame, place: list[tuple], total: int) -> DataFrame:
+    """``pieces`` with sequence_id, turn and rank. ``order``: doc_id, position."""
+    spark = pieces.sparkSession
+    order = order.select(F.col("doc_id").alias("_id"), "position")
+    light = pieces.select("kind", "part", "nth", "doc_id", "start", "length")
+    light = light.join(order, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id").withColumn("position", F.coalesce("position", F.lit(0)))
+    items = _ranked(light.withColumn("bucket", F.floor(F.col("position") / _BUCKET_ROWS)), ["position", "start", "part", "nth"])
+    slots = []
+    for kind, low, high, first, times, turn in place:
+        n = high - low
+        phase = first * 0.6180339887498949 % 1  # rare patterns shouldn't all come at the middle of the run
+        slots += [(kind, a, min(a + _SLOT_ROWS, n) - 1, times, n // times, first, phase, turn) for a in range(0, n, _SLOT_ROWS)]
+    table = spark.createDataFrame(slots or [(-1, 0, 0, 1, 1, 0, 0.0, 0)], "kind int, a long, b long, times long, each long, first long, phase double, turn int")
+    table = table.repartition(min(200, max(1, len(slots)))).withColumn("s", F.explode(F.sequence("a", "b")))
+    nth = F.floor(F.col("s") / F.col("each"))
+    along = (nth + F.col("phase")) / F.col("times")
+    table = table.select("kind", "turn", (F.col("first") + nth).alias("made"), along.alias("along"), F.floor(along * (1 + total // _BUCKET_ROWS)).alias("bucket"))
+    dealt = staged(items.join(_ranked(table, ["along", "made"]), ["kind", "rank"]), "dealt")
+    means = dealt.groupBy("made").agg((F.sum(F.col("position") * F.col("length")) / F.sum("length")).alias("mean"))
+    means = staged(means.withColumn("bucket", F.floor(F.col("mean") / _BUCKET_ROWS)), "sequence-means")
+    starts = running_start(means.groupBy("bucket").count(), "bucket", "count", "base").select("bucket", "base")
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("mean", "made")) - 1
+    ids = means.withColumn("nth_", nth).join(starts, "bucket").select("made", (F.col("base") + F.col("nth_")).alias("sequence_id"))
+    return pieces.join(dealt.join(ids, "made").select("kind", "part", "nth", "turn", "rank", "sequence_id"), ["kind", "part", "nth"])
+
+
 def pack(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, width: int = WIDTH, vocab: str = WORD_VOCAB, end_id: int = END_ID, known: int = PIECES
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, width: int = WIDTH, vocab: str = WORD_VOCAB, end_id: int = END_ID, known: int = PIECES,
+    order: DataFrame | None = None,
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids. ``known``: encoded pieces that a worker
-    keeps, which trades memory for time."""
+    keeps, which trades memory for time. ``order`` (doc_id, position): the order that sequences follow."""
     spark = df.sparkSession
     pieces = staged(token_pieces(df, id_col, text_col, capacity, width, vocab, end_id, known), "pieces")
     counts = staged(pieces.groupBy("kind", "part").count(), "piece-counts")
@@ -169,13 +209,16 @@ def pack(
             place.append((c, slots[c], slots[c] + n, first, times, units - c + 1))
             slots[c] += n
         first += times
-    table = spark.createDataFrame(place or [(0, 0, 0, 0, 1, 0)], "kind int, low long, high long, first long, times long, turn int")
-    before = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).select("kind", "part", "base")
-    ranked = pieces.join(bases, ["kind", "part"]).withColumn("rank", F.col("base") + F.col("nth")).alias("r")
-    t = F.broadcast(table).alias("t")  # bounded: classes times patterns
-    hit = (F.col("r.kind") == F.col("t.kind")) & (F.col("r.rank") >= F.col("t.low")) & (F.col("r.rank") < F.col("t.high"))
-    put = ranked.join(t, hit).withColumn("sequence_id", F.col("first") + (F.col("rank") - F.col("low")) % F.col("times"))
+    if order is not None:
+        put = _in_order(pieces, order, place, sum(sums.values()))
+    else:
+        table = spark.createDataFrame(place or [(0, 0, 0, 0, 1, 0)], "kind int, low long, high long, first long, times long, turn int")
+        before = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        bases = counts.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).select("kind", "part", "base")
+        ranked = pieces.join(bases, ["kind", "part"]).withColumn("rank", F.col("base") + F.col("nth")).alias("r")
+        t = F.broadcast(table).alias("t")  # bounded: classes times patterns
+        hit = (F.col("r.kind") == F.col("t.kind")) & (F.col("r.rank") >= F.col("t.low")) & (F.col("r.rank") < F.col("t.high"))
+        put = ranked.join(t, hit).withColumn("sequence_id", F.col("first") + (F.col("rank") - F.col("low")) % F.col("times"))
     inside = Window.partitionBy("sequence_id").orderBy("turn", "rank").rowsBetween(Window.unboundedPreceding, -1)
     put = put.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
     return put.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")

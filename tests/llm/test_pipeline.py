@@ -1,5 +1,7 @@
+from collections import Counter
+
 import corpus_pipeline
-from headloom.llm import exact_dedup, near_dedup, quality
+from headloom.llm import exact_dedup, mixing, near_dedup, quality
 from tests.conftest import SF
 
 
@@ -21,3 +23,32 @@ def test_stages(spark, tmp_path):
             kept = {r.doc_id for r in near_dedup.near_duplicates(before, shingle=5).filter("kept").collect()}
         assert {r.doc_id for r in docs.select("doc_id").collect()} == kept
     assert sizes[0] < 200 and sizes[1] <= sizes[0] and sizes[2] <= sizes[1] and sizes[3] == sizes[2]
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    rows = []
+    for i in range(1500):
+        source = "a" if i < 300 else "b" if i < 700 else "c"
+        words = 4500 if source == "a" and i % 3 == 0 else 100 + i % 9 * 100 if source == "b" else 50 + i % 8 * 50
+        rows.append((i, "word " * words, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    corpus_pipeline.mixing_stage(spark, docs, SF).write.parquet(f"file://{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"file://{tmp_path}/mixed")
+    found = corpus_pipeline.packing_stage(spark, mixed, SF).select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset").collect()
+    assert sum(r.length for r in found) == sum(r.doc_tokens for r in found if r.start == 0) and {r.doc_id for r in found} == set(range(1500))
+    ends: dict = {}
+    for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert sorted(ends) == list(range(len(ends))) and max(ends.values()) <= 4096
+    place = {r.doc_id: r.position for r in mixing.mix(docs).collect()}
+    for part in (0.1, 0.25, 0.5, 0.75):
+        got, want, have = Counter(), Counter(), 0
+        for r in found:
+            if r.sequence_id < part * len(ends):
+                got[rows[r.doc_id][2]] += r.length
+        for r in sorted(found, key=lambda r: (place[r.doc_id], r.start)):
+            if have < sum(got.values()):
+                want[rows[r.doc_id][2]] += r.length
+                have += r.length
+        assert all(abs(got[s] - want[s]) < 0.06 * have for s in "abc"), (part, got, want)
