@@ -7,8 +7,11 @@ gives each pattern a posterior. Posteriors are the soft labels of a linear score
 words and of word shapes, fitted to a bounded sample (``SAMPLE_DOCS`` documents in the order of a seeded hash
 of their ids). Every document is then scored, and those under ``THRESHOLD`` are rejected.
 
-Edge cases: a null text counts as empty; an empty text, and one too short for any labeller, has no votes and is
-kept, since nothing speaks against it. Null ids and repeated rows are scored like others. An empty table
+Few words are little evidence: under ``ENOUGH_WORDS`` words, shares are drawn to the middle between good and bad,
+and the scorer's log odds to those of the text's votes, in proportion to the words that are missing. Words of over ``LONG_WORD`` bytes are
+cut into units of ``UNIT`` bytes, so that texts without blanks are judged too.
+
+Edge cases: a null text counts as empty; an empty or blank text has no words and is kept with a score of 1. Null ids and repeated rows are scored like others. An empty table
 gives no rows. Only the text is read; all other columns, whatever their names, pass through.
 """
 
@@ -29,6 +32,7 @@ THRESHOLD = 0.2  # four to one against: losing a good document costs more than k
 FEATURES = 1024
 LABELLERS = ("symbols", "shouting", "top_word", "separators", "short_words", "exclaiming", "repeats", "runs")
 ENOUGH_WORDS = 20
+LONG_WORD, UNIT = 64, 12
 SEED = 20240229
 
 _LOWER, _UPPER, _DIGIT, _HIGH, _STOP, _BANG, _SYMBOL = (1 << i for i in range(7))
@@ -49,6 +53,13 @@ class Words:
     def __init__(self, data: np.ndarray):
         edge = np.diff(np.concatenate(([0], (~_SPACE[data]).view(np.int8), [0])))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.cut = 0.0
+        if len(start) and (end - start).max() > LONG_WORD:
+            many = np.where(end - start > LONG_WORD, -(-(end - start) // UNIT), 1)
+            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            last, self.cut = np.repeat(end, many), float(many[many > 1].sum() / many.sum())
+            start = np.repeat(start, many) + nth * UNIT
+            end = np.where(np.repeat(many, many) > 1, np.minimum(start + UNIT, last), last)
         self.n = len(start)
         self.size = end - start
         kinds = _CLASS[data]
@@ -62,10 +73,12 @@ class Words:
 def votes(w: Words) -> np.ndarray:
     """1 good, -1 bad, 0 nothing, for each of LABELLERS."""
     out = np.zeros(len(LABELLERS), np.int8)
-    if w.n < ENOUGH_WORDS:
+    if not w.n:
         return out
+    sure = min(1.0, w.n / ENOUGH_WORDS)
 
     def say(k: int, x: float, good: float, bad: float) -> None:
+        x = sure * x + (1 - sure) * (good + bad) / 2
         out[k] = (1 if x <= good else -1 if x >= bad else 0) if good < bad else (1 if x >= good else -1 if x <= bad else 0)
 
     order = np.sort(w.hash)
@@ -75,8 +88,11 @@ def votes(w: Words) -> np.ndarray:
     say(1, w.upper.sum() / letters, 0.15, 0.45)
     say(2, runs.max() / w.n, 0.15, 0.3)
     say(3, np.mean((w.kinds & _WORDY) == 0), 0.05, 0.25)
-    say(4, np.mean((w.size <= 3) & ((w.kinds & _WORDY) > 0)), 0.12, 0.04)
+    if w.cut < 0.5:  # units have one length
+        say(4, np.mean((w.size <= 3) & ((w.kinds & _WORDY) > 0)), 0.12, 0.04)
     say(5, np.mean((w.kinds & _BANG) > 0), 0.05, 0.3)
+    if w.n == 1:
+        return out
     pairs = np.unique(mix(w.hash[1:] * np.uint64(3) + w.hash[:-1]))
     say(6, len(pairs) / (w.n - 1), 0.5, 0.25)
     say(7, np.mean(w.hash[1:] == w.hash[:-1]), 0.1, 0.3)
@@ -149,15 +165,18 @@ def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 8.0
     return w
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> np.ndarray:
-    """Weights of the scorer. Vote counts cover all documents; the fit uses a bounded sample."""
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of the scorer; log odds of good by labeller and vote, and before any vote. Vote counts cover all documents; the fit uses a bounded sample."""
     pattern = df.select(vote_pattern(F.col(text_col)).alias("p")).groupBy("p").count()
     counts = {r["p"]: r["count"] for r in pattern.collect()}
     silent = int((3 ** np.arange(len(LABELLERS))).sum())
     counts.pop(silent, None)  # no votes say nothing about the labellers
     if not counts:
-        return np.zeros(FEATURES)
-    _, _, posterior = estimate(counts)
+        return np.zeros(FEATURES), np.zeros((len(LABELLERS), 3)), 0.0
+    table, prior, posterior = estimate(counts)
+    odds = np.log(table[:, 1] / table[:, 0])
+    odds[:, 1] = 0  # a short text's silence says nothing
+    even = float(np.log(prior / (1 - prior)))
     total = sum(counts.values())
 
     place = F.xxhash64(F.lit(SEED), F.col(id_col))
@@ -170,18 +189,27 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     taken = rows.filter(F.col("p") != silent).select("p", described("text").alias("x")).collect()
     if not taken:
-        return np.zeros(FEATURES)
+        return np.zeros(FEATURES), odds, even
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in taken]).astype(np.float64)
-    return fit_linear(x, np.array([posterior[r["p"]] for r in taken]))
+    return fit_linear(x, np.array([posterior[r["p"]] for r in taken])), odds, even
+
+
+def log_odds(w: Words, weights: np.ndarray, odds: np.ndarray, even: float) -> float:
+    """Of a good document."""
+    z = float(np.clip(features(w) @ weights, -30, 30))
+    if w.n < ENOUGH_WORDS:
+        sure = w.n / ENOUGH_WORDS
+        z = sure * z + (1 - sure) * float(np.clip(even + odds[np.arange(len(LABELLERS)), votes(w) + 1].sum(), -30, 30))
+    return z
 
 
 def with_quality(df: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the column ``name``: the scorer's probability of a good document; 1 where a text is too short to judge."""
-    weights = train(df, id_col, text_col)
+    """``df`` with the column ``name``: the scorer's probability of a good document; 1 where a text has no words."""
+    model = train(df, id_col, text_col)
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        out = [1.0 if w.n < ENOUGH_WORDS else 1 / (1 + np.exp(-np.clip(features(w) @ weights, -30, 30))) for w in _texts(column)]
+        out = [1 / (1 + np.exp(-log_odds(w, *model))) if w.n else 1.0 for w in _texts(column)]
         give_back()
         return pa.array(out, pa.float64())
 

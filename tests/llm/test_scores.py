@@ -1,3 +1,5 @@
+import base64
+
 import duckdb
 import numpy as np
 
@@ -14,6 +16,20 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean(good) > 0.995 and np.mean(bad) < 0.05
 
 
+def test_quality_of_short_and_unbroken_texts(spark):
+    rng = np.random.default_rng(1)
+    poor = [
+        "For&&& thstrend&&& ouedst$$$ eres*** onth### ande%%% tion@@@ them&&& of$$$ it*** her%%% arel&&& sted### ing$$$ uble@@@",
+        "ab" * 5000,
+        base64.b64encode(rng.bytes(9000)).decode(),
+    ]
+    fine = ["A short note about the river and the old mill.", "one", " "]
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(poor + fine)], "doc_id long, text string")
+    kept = {r.doc_id: r.q for r in quality.with_quality(docs.unionByName(more), "q").filter("doc_id < 0").collect()}
+    assert [kept[-1 - i] >= quality.THRESHOLD for i in range(6)] == [False] * 3 + [True] * 3, kept
+
+
 def test_estimate_recovers_accuracies():
     rng = np.random.default_rng(5)
     n, k = 20000, len(quality.LABELLERS)
