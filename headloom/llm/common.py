@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,9 +49,12 @@ def trimmed(run):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``, which all machines share. Where that is unset, the first local session
+    makes one of its own; a cluster has to name it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="headloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -85,10 +90,7 @@ def size_of(text: str | Column) -> Column:
 
 # Hashing of bytes and words inside tasks, vectorised -------------------------------------------------
 
-_TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
-_BASE = 0x9E3779B97F4A7C15
-_MASK = 2**64 - 1
-_BASE_INV = pow(_BASE, -1, 2**64)
+_GOLDEN = 0x9E3779B97F4A7C15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,51 +100,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_POWERS: dict[int, np.ndarray] = {}
+def strides(data: np.ndarray, width: int, dtype: str) -> np.ndarray:
+    """The ``width`` bytes at every place of ``data``, as values of ``dtype``; a view."""
+    return np.ndarray((len(data) - width + 1,), dtype, np.ascontiguousarray(data), 0, (1,))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and kept for the task's process."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (max(n, 2) - 1).bit_length())
-        have = np.ones(size, np.uint64)
-        done = 1
-        while done < size:
-            step = _U(pow(base, done, 2**64))
-            have[done : 2 * done] = have[:done] * step
-            done *= 2
-        if size <= 1 << 22:
-            _POWERS[base] = have
-    return have[:n]
-
-
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """S with S[i] = sum of t(data[j]) * base**j over j < i, modulo 2**64."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * powers(_BASE, len(data)), out=out[1:])
-    return out
-
-
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of bytes start..end of the data behind ``sums``, the same wherever those bytes stand."""
-    raw = (sums[end] - sums[start]) * powers(_BASE_INV, len(sums))[start]
-    return mix(raw ^ ((end - start).astype(np.uint64) * _U(0xD1B54A32D192ED03)))
+def string_hashes(data: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
+    """Hash of the ``width`` bytes at every place. Hashes of halves are mixed into hashes of wholes, level by
+    level: nothing about it is linear, so strings built from each other in patterns don't collide."""
+    if width < 8:
+        raise ValueError("a string has eight bytes at least")
+    if len(data) < width:
+        return np.zeros(0, np.uint64)
+    h, have = mix(strides(data, 8, "<u8") + _U((_GOLDEN * (2 * salt + 1)) % 2**64)), 8
+    while have < width:
+        step = min(have, width - have)
+        h = mix(h[: len(h) - step] * _U(_GOLDEN) + h[step:])
+        have += step
+    return h
 
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_PART = 1 << 20
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of lower-cased (A-Z) bytes."""
-    if not len(data):
-        return np.zeros(0, np.uint64)
-    low = LOWER[data]
-    edge = np.diff(np.concatenate(([0], (~_SPACE[low]).view(np.int8), [0])))
-    return range_hash(prefix_sums(low), np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of lower-cased (A-Z) bytes, a megabyte of text at a time."""
+    found, at = [], 0
+    while at < len(data):
+        cut = _BLANK.search(data, at + _PART)
+        end = cut.start() if cut else len(data)
+        words = data[at:end].lower().split()
+        found.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -153,5 +146,5 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     width = min(k, n)
     out = np.full(n - width + 1, _U(width))
     for i in range(width):
-        out = mix(out * _U(_BASE) + words[i : n - width + 1 + i])
+        out = mix(out * _U(_GOLDEN) + words[i : n - width + 1 + i])
     return np.unique(out)

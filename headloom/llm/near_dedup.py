@@ -1,8 +1,8 @@
 """Near duplicates by min-max hashing.
 
-Every document's set of word shingles is hashed by a number of permutations, of which both the smallest and
+A document's words are hashed one by one by a strong hash, its shingles by those of their words. Every set of shingles is hashed by a number of permutations, of which both the smallest and
 the largest value are kept: half the evaluations for the same length of signature. Bands of values make
-buckets; documents with the same set are one class, and only its smallest id goes on.
+buckets; documents with the same set are one class, and a class goes on as one numbered node.
 
 Buckets are never expanded into pairs. First each member is compared with two leaders of its bucket, the
 member that shares most buckets with others and one that differs by band, which joins nearly all that belongs
@@ -13,8 +13,8 @@ intersection and union of the two sets. Last, components of the links are found
 
 Edge cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer words
 than a shingle make one shingle. A row with a null id can't be named: it stays, and shows the component of
-documents with the same set, if there are any. Rows that repeat an id share its fate. Only id and text are
-read. An empty table gives no rows.
+documents with the same set, if there are any. Rows that repeat an id are judged each by its own text; a
+component is named by the smallest of all its ids. Only id and text are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ _U = np.uint64
 
 def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[np.ndarray]:
     for text in pc.cast(pc.fill_null(batch.column("text"), ""), pa.binary()):
-        yield shingle_hashes(word_hashes(np.frombuffer(text.as_buffer(), np.uint8)), shingle)
+        yield shingle_hashes(word_hashes(text.as_py()), shingle)
 
 
 def signatures(sets: list[np.ndarray], permutations: int = PERMUTATIONS) -> np.ndarray:
@@ -65,7 +65,7 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def describe(df: DataFrame, shingle: int = SHINGLE, rows: int = ROWS) -> DataFrame:
-    """doc_id, n, set_key, set_check, bands; no bands for an empty set."""
+    """``df``: doc_id, text_key, text. doc_id, text_key, n, set_key, set_check, bands; no bands for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,22 +90,22 @@ def describe(df: DataFrame, shingle: int = SHINGLE, rows: int = ROWS) -> DataFra
                 for k, row in zip(who, bands(signatures(held), rows), strict=True):
                     found[k] = row
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(n), pa.array(keys), pa.array(checks), pa.array(found, pa.list_(pa.int64()))],
-                ["doc_id", "n", "set_key", "set_check", "bands"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(n), pa.array(keys), pa.array(checks), pa.array(found, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n", "set_key", "set_check", "bands"],
             )
 
-    return df.mapInArrow(trimmed(run), "doc_id long, n long, set_key long, set_check long, bands array<long>")
+    return df.mapInArrow(trimmed(run), "doc_id long, text_key long, n long, set_key long, set_check long, bands array<long>")
 
 
 def shingle_sets(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """id, words (binary: the sorted 64-bit hashes of the set)."""
+    """``df``: id, text. id, words (binary: the sorted 64-bit hashes of the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 found = [x.tobytes() for x in _sets(part, shingle)]
-                yield pa.record_batch([part.column("doc_id"), pa.array(found, pa.binary())], ["id", "words"])
+                yield pa.record_batch([part.column("id"), pa.array(found, pa.binary())], ["id", "words"])
 
     return df.mapInArrow(trimmed(run), "id long, words binary")
 
@@ -178,15 +178,16 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
-) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``df``."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _judged(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n, component: one row per row of ``df``."""
+    text = F.col(text_col).cast("string")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     known = staged(describe(docs, shingle), "signatures")
     same = ["set_key", "set_check", "n"]
-    classes = staged(known.filter("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    entries = classes.select(F.explode("bands").alias("b"), F.col("rep").alias("id"), "n")
+    # a number of its own for each class, fixed as it is written; its text is looked up by one row's id and text
+    classes = known.filter("n > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("bands").alias("bands"))
+    classes = staged(classes.select(*same, "rep.*", "bands", F.monotonically_increasing_id().alias("id")), "classes")
+    entries = classes.select(F.explode("bands").alias("b"), "id", "n")
     crowded = entries.groupBy("b").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     entries = staged(entries.join(crowded, "b"), "entries")
 
@@ -198,8 +199,8 @@ def near_duplicates(
     leaders = staged(leaders.select("b", F.explode(F.array_distinct(F.array(F.struct("most.id", "most.n"), F.struct("any.id", "any.n")))).alias("lead")).select("b", "lead.*").toDF("b", "key", "lead_n"), "leaders")
     fits = (F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent) & (F.col("id") != F.col("key"))
     stars = staged(entries.join(leaders, "b").filter(fits).select("key", "lead_n", "id", "n").distinct(), "stars")
-    wanted = staged(entries.select(F.col("id").alias("doc_id")).distinct(), "wanted")
-    sets = staged(shingle_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "sets")
+    wanted = staged(classes.join(entries.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "text_key"), "wanted")
+    sets = staged(shingle_sets(docs.join(wanted, ["doc_id", "text_key"]).select("id", "text", "doc_id", "text_key").dropDuplicates(["id"]).select("id", "text"), shingle), "sets")
     heads = stars.select("key", F.col("key").alias("id"), F.col("key").alias("label"), F.col("lead_n").alias("n")).distinct()
     links = staged(verified(heads, stars.select("key", "id", F.col("id").alias("label"), "n"), sets, percent), "star-links")
 
@@ -212,18 +213,26 @@ def near_duplicates(
     more = staged(verified(members, rest, sets, percent), "block-links")
 
     final = components(links.unionByName(more)) if more.take(1) else found
-    final = final.select(F.col("id").alias("rep"), "component")
-    named = known.join(classes.select(*same, "rep"), same, "left").join(final, "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return named.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    )
+    placed = classes.select(*same, "id", F.col("doc_id").alias("least")).join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = staged(placed.join(named, "component").select(*same, "component_id"), "named")
+    return known.join(named, same, "left").select("doc_id", "text_key", "n", F.coalesce("component_id", "doc_id").alias("component"))
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``df``."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True))
+    return _judged(df, id_col, text_col, shingle, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
-    lost = staged(near_duplicates(df, id_col, text_col, shingle, percent).filter("not kept").select(F.col("doc_id").alias("_lost")).distinct(), "lost")
-    return df.join(lost, df[id_col] == lost["_lost"], "left_anti")
+    lost = _judged(df, id_col, text_col, shingle, percent).filter("doc_id <> component").select(F.col("doc_id").alias("_lost"), F.col("text_key").alias("_lost_text"))
+    lost = staged(lost.distinct(), "lost").alias("_gone")
+    gone = (df[id_col].cast("long") == F.col("_gone._lost")) & (F.xxhash64(df[text_col].cast("string")) == F.col("_gone._lost_text"))
+    return df.join(lost, gone, "left_anti")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

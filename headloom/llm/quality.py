@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headloom.llm.common import _SPACE, give_back, mix, prefix_sums, range_hash, read_table
+from headloom.llm.common import _SPACE, give_back, mix, read_table
 
 SAMPLE_DOCS = 4000
 THRESHOLD = 0.2  # four to one against: losing a good document costs more than keeping a poor one
@@ -47,6 +47,44 @@ for _c in b"#$%&*+/<=>@[\\]^_`{|}~":
 _WORDY = _LOWER | _UPPER | _DIGIT | _HIGH
 
 
+# Hashes of words for features and vote shares, where a collision is harmless: linear, and so one pass -----
+
+_U = np.uint64
+_TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INV = pow(_BASE, -1, 2**64)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and kept for the task's process."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        size = max(1 << 16, 1 << (max(n, 2) - 1).bit_length())
+        have = np.ones(size, np.uint64)
+        done = 1
+        while done < size:
+            step = _U(pow(base, done, 2**64))
+            have[done : 2 * done] = have[:done] * step
+            done *= 2
+        if size <= 1 << 22:
+            _POWERS[base] = have
+    return have[:n]
+
+
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """S with S[i] = sum of t(data[j]) * base**j over j < i, modulo 2**64."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[data] * powers(_BASE, len(data)), out=out[1:])
+    return out
+
+
+def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of bytes start..end of the data behind ``sums``, the same wherever those bytes stand."""
+    raw = (sums[end] - sums[start]) * powers(_BASE_INV, len(sums))[start]
+    return mix(raw ^ ((end - start).astype(np.uint64) * _U(0xD1B54A32D192ED03)))
+
+
 class Words:
     """Hashes, lengths and character classes of the words of one text."""
 

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from headloom.llm import suffix_dedup
 from headloom.llm.common import shingle_hashes, word_hashes
 from headloom.llm.components import components
 from headloom.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
@@ -73,6 +74,15 @@ def test_near_against_brute_force(spark, awkward, nothing):
     assert drop_near_duplicates(awkward).columns == awkward.columns
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(spark):
+    one, two, three = prose(21, 80), prose(22, 80), prose(23, 80)
+    rows = [(1, one), (5, one + " end"), (5, two), (5, two), (7, three), (None, one)]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, component int")
+    found = sorted((str(r.doc_id), r.component_id, r.kept) for r in near_duplicates(df).collect())
+    assert found == sorted([("1", 1, True), ("5", 1, False), ("5", 5, True), ("5", 5, True), ("7", 7, True), ("None", 1, True)])
+    assert sorted(r.component for r in drop_near_duplicates(df).collect()) == [0, 2, 3, 4, 5]
+
+
 def test_star_leaders_are_not_needed_for_links(spark):
     """Two ends of a chain that share a bucket with no direct link still come together through the middle."""
     words = prose(9, 300).split(" ")
@@ -91,9 +101,12 @@ def test_min_max_is_unbiased():
 
 
 def test_shingles():
-    words = word_hashes(np.frombuffer(b"A b\tc  d e", np.uint8))
+    words = word_hashes(b"A b\tc  d e")
     assert len(words) == 5 and len(shingle_hashes(words, 4)) == 2 and len(shingle_hashes(words[:2], 4)) == 1 and not len(shingle_hashes(words[:0], 4))
-    assert (word_hashes(np.frombuffer(b"a B", np.uint8)) == words[:2]).all()
+    assert (word_hashes(b"a B") == words[:2]).all() and not len(word_hashes(b" \n"))
+    text = ("abc \x85 \x1c d" * 9 + "\n").encode()
+    long = text * 40_000  # over more than one part
+    assert word_hashes(long).tolist() == word_hashes(text).tolist() * 40_000
 
 
 def test_components(spark):
@@ -114,12 +127,35 @@ def brute_repeats(texts, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("many", [2_000_000, 50])
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_patterned_texts_are_not_taken_for_each_other(spark):
+    """Words and windows whose linear hashes modulo a power of two are equal whatever the base."""
+    rows = [(n, thue_morse(2048, *ab)) for n, ab in enumerate([("a", "b"), ("b", "a")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(df).collect()} == {0: 0, 1: 1}
+    words = [(n, " ".join(thue_morse(1024, *ab) if w == "x" else w for w in "one two x four five six".split())) for n, ab in enumerate([("a", "b"), ("b", "a")])]
+    assert {r.component_id for r in near_duplicates(spark.createDataFrame(words, "doc_id long, text string")).collect()} == {0, 1}
+    want = brute_repeats([t.encode() for _, t in rows], 400)
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect()) == want
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    data = [np.frombuffer(x, np.uint8) for x in (b"0123456789abcdef", b"abcdefgh", b"hgfedcba", b"23456789")]
+    want = [[i == 2 for i in range(9)], [False], [False], [True]]
+    assert [x.tolist() for x in suffix_dedup.repeated(data, 8)] == want
+    monkeypatch.setattr(suffix_dedup, "string_hashes", lambda x, n: np.zeros(len(x) - n + 1, np.uint64))
+    assert [x.tolist() for x in suffix_dedup.repeated(data, 8)] == want
+
+
+@pytest.mark.parametrize("many", [64 << 20, 600])
 def test_repeats_against_brute_force(spark, nothing, many):
     passage, other = prose(40, 90), prose(41, 70)
     texts = [None, "", "short", passage, passage, "x" + passage + "y", other + passage[100:], prose(42, 60) + other, "ab" * 500, "z" * 400, "z" * 401, prose(43, 300), passage[:399], "é" * 300]
     df = spark.createDataFrame([(i if i else None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, hash long").repartition(3)
     found = remove_repeats(df, many=many).collect()
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute_repeats([(t or "").encode() for t in texts], 400)
-    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in found if r.kept is not None)
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in found)
     assert remove_repeats(nothing).count() == 0
