@@ -1,18 +1,21 @@
 """Licence scan: TF-IDF cosine of licence headers and licence files to templates, and inheritance by directory.
 
-Lines with a licence cue are candidates; distinct ones are scored once. Candidates and templates are bags of
-words weighted by ln((1 + N) / (1 + df)) + 1 over all candidate lines of the corpus and the templates, and a
-line takes the template of the largest cosine, if that reaches ``THRESHOLD``. A document takes its best line.
-A document that is mostly its licence line is a licence file, and its directory hands the licence down:
-a document without one of its own takes it from the nearest ancestor directory that has a licence file,
-found by joining directories with directories.
+A document with a licence cue anywhere is looked at in three ways: each of its lines with a cue, the block of
+comment lines at its head, and its whole text. Distinct ones are scored once. They and the templates (short
+notices, tags, grants and whole licence texts) are bags of words weighted by ln((1 + N) / (1 + df)) + 1 over all of
+them in the corpus and the templates, and each takes the template of the largest cosine, if that reaches
+``THRESHOLD``. A document takes the best of its parts. It is a licence file if its whole text is such a match, or
+if its file name says so and any part matches, and its directory hands the licence down: a document without one
+of its own takes it from the nearest ancestor directory that has a licence file, found by joining directories
+with directories.
 
 Built from DataFrame functions alone. Templates are a table of fixed size and are broadcast; ancestors are
-exploded per distinct directory, never per pair of files.
+exploded per distinct directory, never per pair of files, and what a directory inherits is dealt over ``SALTS``
+parts, so that a directory of very many files is no single task.
 
-Edge cases: a null or empty text has no lines, a null path no directory; both give a null licence. Of two
-licence files in one directory the better match, then the smaller name, counts; lines and templates that
-tie go to the smaller name. Repeated rows give repeated results. An empty table gives no rows.
+Edge cases: a null or empty text has no parts, a null path no directory; both give a null licence. Of two
+licence files in one directory the better match, then the smaller name, counts; parts and templates that
+tie go to the smaller name. Rows that repeat id and path share the best of their parts. An empty table gives no rows.
 Only id, path and text are read.
 """
 
@@ -22,77 +25,81 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headloom.llm.common import read_table, staged
+from headloom.llm.licence_texts import TEMPLATES
 
 THRESHOLD = 0.6
-CUE = r"(?i)\b(licen[sc]e[ds]?|copyright|spdx|released under|all rights reserved)\b"
+SALTS = 8
+CUE = r"(?i)\b(licen[sc]e[ds]?|unlicense|copyright|spdx|released under|all rights reserved|permission is|redistribution and use|free software|without (any )?(express )?warrant|public domain)"
+COMMENT = r"^\s*(#|//|/\*|\*|--|;|%|<!--)"
+FILE_NAME = r"(?i)(^|/)(un)?(licen[sc]e|copying|copyright|notice)[^/]*$"
 _WORD = "[a-z0-9.]*[a-z0-9]"
-#: Usual notices of public licences.
-TEMPLATES = [
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", "Released under the ISC License."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
-    ("Proprietary", "Copyright. All rights reserved."),
-    ("Unlicense", "Released under the Unlicense."),
-]
 
 
 def words(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
 
+def parts(text: Column) -> Column:
+    """Kind and text of what may hold a licence: cue lines, a comment block of several lines at the head, the whole."""
+    lines = F.split(text, "\n")
+    first = F.array_position(F.transform(lines, lambda x: ~x.rlike(COMMENT)), True) - 1
+    count = F.when(first < 0, F.size(lines)).otherwise(first).cast("int")
+    head = F.when(count > 1, F.array_join(F.slice(lines, 1, count), "\n"))
+    made = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("part"))
+    cued = F.transform(F.filter(lines, lambda x: x.rlike(CUE)), lambda x: made("line", x))
+    heads = F.when(head.rlike(CUE), F.array(made("head", head))).otherwise(F.array().cast("array<struct<kind:string,part:string>>"))
+    return F.when(text.rlike(CUE), F.concat(cued, heads, F.array(made("whole", text))))
+
+
+def _templates(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(name).alias("name"), F.lit(text).alias("part")) for i, (name, text) in enumerate(templates)])
+    return spark.range(1).select(F.explode(rows).alias("x")).select("x.*")
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, license, score, via (header, file, inherited) and from_dir, one row per row of ``df``."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.coalesce(text_col, F.lit("")).alias("text"))
-    cut = F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE))
-    found = docs.select("doc_id", "path", F.octet_length("text").alias("size"), F.when(F.col("text").rlike(CUE), cut).otherwise(F.array()).alias("lines"))
-    found = staged(found, "licence-lines")
-    lines = found.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("uses"))
-    given = spark.createDataFrame(templates, "name string, line string")
-
-    bags = lines.select("line", "uses", F.explode(words("line")).alias("word")).groupBy("line", "uses", "word").agg(F.count(F.lit(1)).alias("tf"))
-    bags = staged(bags, "licence-bags")
-    model = given.select("name", F.explode(words("line")).alias("word")).groupBy("name", "word").agg(F.count(F.lit(1)).alias("tf"))
+    found = staged(docs.select("doc_id", "path", parts(F.col("text")).alias("parts")), "licence-parts")
+    each = found.select("doc_id", "path", F.explode("parts").alias("x")).select("doc_id", "path", "x.kind", F.sha2("x.part", 256).alias("key"), "x.part")
+    own_parts = staged(each.select("doc_id", "path", "kind", "key"), "licence-keys")
+    uses = own_parts.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
+    bags = each.select("key", "part").dropDuplicates(["key"]).select("key", F.explode(words("part")).alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("tf"))
+    bags = staged(bags.join(uses, "key"), "licence-bags")
+    given = _templates(spark, templates)
+    model = given.select("t", "name", F.explode(words("part")).alias("word")).groupBy("t", "name", "word").agg(F.count(F.lit(1)).alias("tf"))
     seen = bags.select("word", "uses").unionByName(model.select("word", F.lit(1).cast("long").alias("uses"))).groupBy("word").agg(F.sum("uses").alias("df"))
-    total = (lines.agg(F.sum("uses")).first()[0] or 0) + len(templates)
+    total = own_parts.count() + len(templates)
     idf = staged(seen.select("word", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")), "licence-idf")
 
-    def weighted(bag: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-        w = bag.join(idf, "word").select(key, "word", (F.col("tf") * F.col("idf")).alias("w"))
-        return w, w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    def weighted(bag: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
+        w = bag.join(idf, "word").select(*key, "word", (F.col("tf") * F.col("idf")).alias("w"))
+        return w, w.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
-    line_w, line_norm = weighted(bags, "line")
-    model_w, model_norm = weighted(model, "name")
-    model_w = F.broadcast(model_w.join(model_norm, "name").select("name", "word", (F.col("w") / F.col("norm")).alias("m")))
-    cosine = line_w.join(model_w, "word").groupBy("line", "name").agg(F.sum(F.col("w") * F.col("m")).alias("dot"))
-    cosine = cosine.join(line_norm, "line").select("line", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-    best = cosine.filter(F.col("score") >= threshold).groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("hit"))
+    part_w, part_norm = weighted(bags, "key")
+    model_w, model_norm = weighted(model, "t", "name")
+    model_w = F.broadcast(model_w.join(model_norm, ["t", "name"]).select("t", "name", "word", (F.col("w") / F.col("norm")).alias("m")))
+    cosine = part_w.join(model_w, "word").groupBy("key", "t", "name").agg(F.sum(F.col("w") * F.col("m")).alias("dot"))
+    cosine = cosine.join(part_norm, "key").select("key", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    best = cosine.filter(F.col("score") >= threshold).groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("hit"))
     best = staged(best, "licence-best")
 
-    own = found.select("doc_id", "path", "size", F.explode("lines").alias("line")).join(best, "line")
-    own = own.groupBy("doc_id", "path").agg(F.min("hit").alias("hit"), F.max(F.octet_length("line") * 2 >= F.col("size")).alias("file"))
-    own = own.select(F.col("doc_id").alias("_d"), F.col("path").alias("_p"), F.col("hit.name").alias("own"), (-F.col("hit.s")).alias("own_score"), "file")
+    own = own_parts.join(best, "key").groupBy("doc_id", "path").agg(F.min("hit").alias("hit"), F.max(F.col("kind") == "whole").alias("whole"))
+    own = own.select(F.col("doc_id").alias("_d"), F.col("path").alias("_p"), F.col("hit.name").alias("own"), (-F.col("hit.s")).alias("own_score"), "whole")
     same = found["doc_id"].eqNullSafe(own["_d"]) & found["path"].eqNullSafe(own["_p"])
     folder = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
-    rows = staged(found.join(own, same, "left").select("doc_id", "path", "own", "own_score", "file", folder.alias("dir")), "licence-own")
+    file = F.col("whole") | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
+    rows = staged(found.join(own, same, "left").select("doc_id", "path", "own", "own_score", file.alias("file"), folder.alias("dir")), "licence-own")
 
-    files = rows.filter("file").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own").alias("name"))).alias("hit"))
+    files = rows.filter("own is not null and file").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own").alias("name"))).alias("hit"))
     files = staged(files.select(F.col("dir").alias("at"), "hit"), "licence-dirs")
-    parts = F.split("dir", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    steps_of = F.split("dir", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(steps_of)), lambda n: F.array_join(F.slice(steps_of, 1, n), "/"))
     steps = rows.filter("own is null and dir is not null").select("dir").distinct().select("dir", F.explode(F.array_distinct(above)).alias("at"))
     near = steps.join(files, "at").groupBy("dir").agg(F.max_by(F.struct("at", "hit"), F.length("at")).alias("up"))
     near = near.select("dir", F.col("up.at").alias("up_dir"), F.col("up.hit.name").alias("up_name"), (-F.col("up.hit.s")).alias("up_score"))
-    out = rows.join(near, "dir", "left")
+    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "path"), F.lit(SALTS)).cast("int")).join(near, ["dir", "salt"], "left")
     mine = F.col("own").isNotNull()
     return out.select(
         "doc_id", "path",
@@ -113,34 +120,39 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs.select("doc_id", "path", "text"))
 
 
-ORACLE_SQL = r"""
+_VALUES = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in TEMPLATES)
+ORACLE_SQL = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, coalesce(text, '') AS text FROM documents),
-l AS (SELECT doc_id, path, strlen(text) AS size, unnest(list_filter(string_split(text, chr(10)),
-        lambda x: regexp_matches(x, '(?i)\b(licen[sc]e[ds]?|copyright|spdx|released under|all rights reserved)\b'))) AS line FROM d),
-u AS (SELECT line, count(*) AS uses FROM l GROUP BY line),
-t(name, line) AS (VALUES %s),
-bw AS (SELECT line, uses, word, count(*) AS tf FROM (SELECT line, uses, unnest(regexp_extract_all(lower(line), '[a-z0-9.]*[a-z0-9]')) AS word FROM u) GROUP BY ALL),
-mw AS (SELECT name, word, count(*) AS tf FROM (SELECT name, unnest(regexp_extract_all(lower(line), '[a-z0-9.]*[a-z0-9]')) AS word FROM t) GROUP BY ALL),
+q AS (SELECT *, string_split(text, chr(10)) AS ls FROM d WHERE regexp_matches(text, '{CUE}')),
+h AS (SELECT *, CASE WHEN list_position(list_transform(ls, lambda x: NOT regexp_matches(x, '{COMMENT}')), true) > 0
+        THEN list_position(list_transform(ls, lambda x: NOT regexp_matches(x, '{COMMENT}')), true) - 1 ELSE len(ls) END AS n FROM q),
+l AS (SELECT doc_id, path, 'line' AS kind, unnest(list_filter(ls, lambda x: regexp_matches(x, '{CUE}'))) AS part FROM h
+      UNION ALL SELECT doc_id, path, 'head', array_to_string(ls[1:n], chr(10)) FROM h WHERE n > 1 AND regexp_matches(array_to_string(ls[1:n], chr(10)), '{CUE}')
+      UNION ALL SELECT doc_id, path, 'whole', text FROM h),
+u AS (SELECT part, count(*) AS uses FROM l GROUP BY part),
+t AS (SELECT row_number() OVER () AS t, * FROM (VALUES {_VALUES}) v(name, part)),
+bw AS (SELECT part, uses, word, count(*) AS tf FROM (SELECT part, uses, unnest(regexp_extract_all(lower(part), '{_WORD}')) AS word FROM u) GROUP BY ALL),
+mw AS (SELECT t, name, word, count(*) AS tf FROM (SELECT t, name, unnest(regexp_extract_all(lower(part), '{_WORD}')) AS word FROM t) GROUP BY ALL),
 n AS (SELECT (SELECT coalesce(sum(uses), 0) FROM u) + (SELECT count(*) FROM t) AS total),
 idf AS (SELECT word, ln((1.0 + (SELECT total FROM n)) / (1 + sum(uses))) + 1 AS idf
         FROM (SELECT word, uses FROM bw UNION ALL SELECT word, 1 FROM mw) GROUP BY word),
-lw AS (SELECT line, word, tf * idf AS w FROM bw JOIN idf USING (word)),
-ln AS (SELECT line, sqrt(sum(w * w)) AS norm FROM lw GROUP BY line),
-tw AS (SELECT name, word, tf * idf AS w FROM mw JOIN idf USING (word)),
-tn AS (SELECT name, sqrt(sum(w * w)) AS norm FROM tw GROUP BY name),
-c AS (SELECT lw.line, tw.name, round(sum(lw.w * tw.w / tn.norm) / any_value(ln.norm), 6) AS score
-      FROM lw JOIN tw USING (word) JOIN tn ON tn.name = tw.name JOIN ln ON ln.line = lw.line GROUP BY lw.line, tw.name),
-b AS (SELECT line, name, score FROM c WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, name) = 1),
-o AS (SELECT l.doc_id, l.path, b.name, b.score, max(strlen(l.line) * 2 >= l.size) OVER (PARTITION BY l.doc_id, l.path) AS file
-      FROM l JOIN b USING (line) QUALIFY row_number() OVER (PARTITION BY l.doc_id, l.path ORDER BY b.score DESC, b.name) = 1),
-r AS (SELECT d.doc_id, d.path, o.name, o.score, o.file,
+lw AS (SELECT part, word, tf * idf AS w FROM bw JOIN idf USING (word)),
+ln AS (SELECT part, sqrt(sum(w * w)) AS norm FROM lw GROUP BY part),
+tw AS (SELECT t, name, word, tf * idf AS w FROM mw JOIN idf USING (word)),
+tn AS (SELECT t, sqrt(sum(w * w)) AS norm FROM tw GROUP BY t),
+c AS (SELECT lw.part, tw.name, round(sum(lw.w * tw.w / tn.norm) / any_value(ln.norm), 6) AS score
+      FROM lw JOIN tw USING (word) JOIN tn ON tn.t = tw.t JOIN ln ON ln.part = lw.part GROUP BY lw.part, tw.t, tw.name),
+b AS (SELECT part, name, score FROM c WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY part ORDER BY score DESC, name) = 1),
+o AS (SELECT l.doc_id, l.path, b.name, b.score, bool_or(kind = 'whole') OVER (PARTITION BY l.doc_id, l.path) AS whole
+      FROM l JOIN b USING (part) QUALIFY row_number() OVER (PARTITION BY l.doc_id, l.path ORDER BY b.score DESC, b.name) = 1),
+r AS (SELECT d.doc_id, d.path, o.name, o.score, o.whole OR regexp_matches(d.path, '{FILE_NAME}') AS file,
         CASE WHEN contains(d.path, '/') THEN regexp_replace(d.path, '/[^/]*$', '') WHEN d.path IS NOT NULL THEN '' END AS dir
       FROM d LEFT JOIN o ON o.doc_id = d.doc_id AND o.path = d.path),
-f AS (SELECT dir, name, score FROM r WHERE file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, name) = 1),
+f AS (SELECT dir, name, score FROM r WHERE file AND name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, name) = 1),
 a AS (SELECT DISTINCT dir, dir AS up FROM r UNION SELECT dir, CASE WHEN contains(up, '/') THEN regexp_replace(up, '/[^/]*$', '') ELSE '' END FROM a WHERE up <> ''),
 x AS (SELECT a.dir, a.up, f.name, f.score FROM a JOIN f ON f.dir = a.up QUALIFY row_number() OVER (PARTITION BY a.dir ORDER BY length(a.up) DESC) = 1)
 SELECT r.doc_id, r.path, coalesce(r.name, x.name) AS license, CASE WHEN r.name IS NOT NULL THEN r.score ELSE x.score END AS score,
   CASE WHEN r.name IS NOT NULL AND r.file THEN 'file' WHEN r.name IS NOT NULL THEN 'header' WHEN x.name IS NOT NULL THEN 'inherited' END AS via,
   CASE WHEN r.name IS NULL THEN x.up END AS from_dir
 FROM r LEFT JOIN x ON x.dir = r.dir
-""" % ", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES)
+"""

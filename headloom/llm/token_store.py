@@ -126,7 +126,10 @@ def write_tokens(
     total = df.agg(F.sum(size_of(text_col) + 16).alias("n")).first()["n"] or 0
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = max(1, -(-total // part_bytes))
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # rows without an id, or with one that repeats, may be very many: text and place part them
+    order = [F.col("doc_id").asc_nulls_first(), "key", "place"]
+    rows = rows.withColumns({"key": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -3,12 +3,13 @@
 Neither vocabulary lets a token cross from a non-blank into following white space, so a text is cut before
 its spaces and line ends, the distinct pieces of a batch are encoded once each, and ids are gathered back by
 piece. Texts with longer runs of white space, which may be one token of the byte-level
-vocabulary, are encoded whole.
+vocabulary, are encoded whole, as are texts that hold one of the vocabulary's added tokens.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, repeat
@@ -34,9 +35,10 @@ class Encoder:
 
         path = vocab if os.path.isabs(vocab) else public_tokenizers.path(vocab)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         drops_space = "word_bpe" in os.path.basename(path)
         self.odd = _CUT if drops_space else f"{_CUT}|{_BLANK}{{3}}|{_BLANK}{{2}}$"
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            self.odd += f"|(?i:{re.escape(token.content)})"
         self.known: dict[str, int] = {}  # piece -> where in starts and sizes; the first ``pieces`` seen
         self.flat, self.starts, self.sizes = (np.zeros(0, t) for t in (np.uint32, np.int64, np.int64))
 

@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from headloom.llm.ann import nearest
 from headloom.llm.mixing import block_slots, mix, schedule, whole_parts, window_of
-from headloom.llm.sharding import shard_by_rows, write_shuffled
+from headloom.llm.sharding import permuted, write_shards
 
 
 def test_schedule_is_within_one_block():
@@ -55,19 +56,43 @@ def test_mix_of_many_sources(spark):
     assert all(abs(r.block - r.slot * weights[r.source] / total) < 1 for r in found)
 
 
-def test_shards(spark, awkward, nothing, tmp_path):
-    before = sorted(map(repr, awkward.collect()))
-    path = f"file://{tmp_path}/s"
-    assert write_shuffled(awkward, path, bucket_bytes=50_000) > 1
-    found = shard_by_rows(spark.read.parquet(path), 5).collect()
-    assert sorted(repr(r.rec) for r in found) == before
-    sizes = [sorted(r.slot for r in found if r.shard == s) for s in range(5)]
-    assert all(x == list(range(len(x))) for x in sizes) and max(map(len, sizes)) - min(map(len, sizes)) <= 1
-    write_shuffled(awkward, path + "2", bucket_bytes=50_000)
-    again = shard_by_rows(spark.read.parquet(path + "2"), 5).collect()
-    assert sorted((r.shard, r.slot, repr(r.rec)) for r in found) == sorted((r.shard, r.slot, repr(r.rec)) for r in again)
-    write_shuffled(nothing, path + "0")
-    assert shard_by_rows(spark.read.parquet(path + "0"), 5).count() == 0
+def test_permutation_is_fisher_yates(spark):
+    def draw(n, bucket):
+        return permuted(F.lit(n), 5, F.lit(bucket).cast("long"))
+
+    seen = [spark.range(1).select(draw(n, 3)).first()[0] for n in (1, 2, 7, 1000)]
+    assert [sorted(x) for x in seen] == [list(range(len(x))) for x in seen] and seen[3] != sorted(seen[3])
+    swaps = spark.range(7).select(F.pmod(F.xxhash64(F.lit(5), F.lit(3).cast("long"), F.col("id").cast("int")), F.col("id") + 1).alias("j")).collect()
+    want = list(range(7))
+    for i in range(6, 0, -1):
+        j = swaps[i].j
+        want[i], want[j] = want[j], want[i]
+    assert seen[2] == want
+    rows = spark.range(600).select(permuted(F.lit(3), 5, F.col("id")).alias("p")).groupBy("p").count().collect()
+    assert len(rows) == 6 and all(60 < r["count"] < 140 for r in rows)
+
+
+@pytest.mark.parametrize("bucket_bytes", [50_000, 8 << 20])
+def test_shards(spark, awkward, nothing, tmp_path, bucket_bytes):
+    many = awkward.unionByName(spark.range(1900).select(F.col("id").alias("doc_id"), *[F.lit(None).cast(awkward.schema[c].dataType).alias(c) for c in awkward.columns[1:]]))
+    many = many.unionByName(awkward.filter("doc_id = 12").withColumn("k_", F.explode(F.sequence(F.lit(1), F.lit(700)))).drop("k_"))
+    before = sorted(map(repr, many.collect()))
+    made = []
+    for n, parts in enumerate((2, 7)):
+        df = many.repartition(parts) if n else many.orderBy(F.desc("doc_id"))
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        found = write_shards(df, f"file://{tmp_path}/{n}", 5, bucket_bytes=bucket_bytes).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert sorted(repr(r.rec) for r in found) == before
+        slots = [sorted(r.slot for r in found if r.shard == s) for s in range(5)]
+        assert all(x == list(range(len(x))) for x in slots) and max(map(len, slots)) - min(map(len, slots)) <= 1
+        own = spark.read.parquet(f"file://{tmp_path}/{n}/shard=3").collect()
+        assert sorted((r.slot, repr(r.rec)) for r in own) == sorted((r.slot, repr(r.rec)) for r in found if r.shard == 3)
+        made.append(sorted((r.shard, r.slot, repr(r.rec)) for r in found))
+    assert made[0] == made[1]  # whatever the layout and the partitions
+    other = write_shards(many, f"file://{tmp_path}/seed", 5, seed=1, bucket_bytes=bucket_bytes).collect()
+    assert sum(a == b for a, b in zip(made[0], sorted((r.shard, r.slot, repr(r.rec)) for r in other))) < len(before) / 2
+    assert write_shards(nothing, f"file://{tmp_path}/none", 5).count() == 0
 
 
 def test_nearest_recall_and_order(spark):

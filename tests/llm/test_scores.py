@@ -3,7 +3,7 @@ import base64
 import duckdb
 import numpy as np
 
-from headloom.llm import licenses, quality
+from headloom.llm import licence_texts, licenses, quality
 from tests.conftest import SF
 
 
@@ -62,6 +62,27 @@ def test_licences(spark, awkward, nothing):
     assert licenses.scan(awkward.selectExpr("*", "'a/b' as path")).count() == awkward.count()
 
 
+def test_whole_licences_headers_and_tags(spark):
+    texts = dict(licence_texts.TEXTS)
+    mit = texts["MIT"].replace("Copyright (c)", "\n\nCopyright (c) 2021 The Example Authors <mail@example.org>\n\n").replace(", ", ",\n")
+    gpl = "\n".join("# " + x for x in texts["GPL-3.0"].split(". "))
+    code = "\n".join(f"value_{i} = compute_{i}(left_{i}, right_{i})" for i in range(60))
+    rows = [
+        ("MIT", "file", "a/LICENSE", mit),
+        ("GPL-3.0", "header", "b/x.py", "#!/usr/bin/env python\n" + gpl + "\n\nimport os\n" + code),
+        ("Apache-2.0", "header", "c/y.c", "// SPDX-License-Identifier: Apache-2.0\n" + code),
+        ("BSD-3-Clause", "file", "d/anything", texts["BSD-3-Clause"]),
+        ("BSD-2-Clause", "file", "e/COPYING", texts["BSD-2-Clause"]),
+        ("ISC", "header", "f/z.js", "/*\n * " + texts["ISC"].replace(". ", ".\n * ") + "\n */\n" + code),
+        ("MPL-2.0", "file", "g/LICENSE.txt", "Notes of the project\n" + texts["MPL-2.0"] + "\n" + code),
+        (None, None, "h/w.c", "/* SPDX-License-Identifier: Sleepycat */\n" + code),
+        (None, None, "i/story", "The author asked for permission is all he said, and a licence to fish in public domain waters. " + code),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, want string, how string, path string, text string")
+    found = {r.doc_id: (r.license, r.via) for r in licenses.scan(df).collect()}
+    assert found == {i: r[:2] for i, r in enumerate(rows)}
+
+
 def test_licence_sql_agrees(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS FROM '{SF}/documents.parquet'")

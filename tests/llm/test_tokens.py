@@ -5,12 +5,13 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from headloom.llm.packing import best_pattern, pack, solve_patterns
 from headloom.llm.token_store import FrameReader, FrameWriter, read_tokens, write_tokens
 from headloom.llm.tokens import BYTE_VOCAB, WORD_VOCAB, Encoder
 
-TEXTS = ["a  b", "a \n b", "x\n  y", " lead", "trail ", "two  ", "\n\n a  b  c", "", "a   b\t \tc", "don't  stop 'll", "É ǅ Σας ΣΑΣ", "a  b  c", "<|endoftext|> hi", "n\r\nm", "\x1f q", "l" * 50 + " m"]
+TEXTS = ["a  b", "a \n b", "x\n  y", " lead", "trail ", "two  ", "\n\n a  b  c", "", "a   b\t \tc", "don't  stop 'll", "É ǅ Σας ΣΑΣ", "a  b  c", "<|endoftext|> hi", "so<|endoftext|>on  <|ENDOFTEXT|>\n<|startoftext|>", "n\r\nm", "\x1f q", "l" * 50 + " m"]
 
 
 def plain(vocab):
@@ -18,7 +19,6 @@ def plain(vocab):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(vocab))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -78,6 +78,9 @@ def test_store_round_trip(spark, awkward, nothing, tmp_path):
     assert ids == sorted(ids)
     listed = spark.read.parquet(f"{path}-list")
     assert {r.doc_id for r in read_tokens(listed, path, wanted=[8, 10]).collect()} == {8, 10}
+    same = awkward.filter("doc_id = 8").withColumn("doc_id", F.lit(None).cast("long")).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(300))))
+    parts = write_tokens(same, path + "1", part_bytes=60_000)
+    assert parts.count() > 1 and read_tokens(parts, path + "1").count() == 300
     assert read_tokens(write_tokens(nothing, path + "0"), path + "0").count() == 0
 
 
