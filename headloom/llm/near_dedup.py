@@ -200,7 +200,8 @@ def _judged(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: in
     fits = (F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent) & (F.col("id") != F.col("key"))
     stars = staged(entries.join(leaders, "b").filter(fits).select("key", "lead_n", "id", "n").distinct(), "stars")
     wanted = staged(classes.join(entries.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "text_key"), "wanted")
-    sets = staged(shingle_sets(docs.join(wanted, ["doc_id", "text_key"]).select("id", "text", "doc_id", "text_key").dropDuplicates(["id"]).select("id", "text"), shingle), "sets")
+    # grows with the corpus, so a merge join at every size
+    sets = staged(shingle_sets(docs.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("id", "text", "doc_id", "text_key").dropDuplicates(["id"]).select("id", "text"), shingle), "sets")
     heads = stars.select("key", F.col("key").alias("id"), F.col("key").alias("label"), F.col("lead_n").alias("n")).distinct()
     links = staged(verified(heads, stars.select("key", "id", F.col("id").alias("label"), "n"), sets, percent), "star-links")
 
@@ -216,7 +217,7 @@ def _judged(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: in
     placed = classes.select(*same, "id", F.col("doc_id").alias("least")).join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     named = staged(placed.join(named, "component").select(*same, "component_id"), "named")
-    return known.join(named, same, "left").select("doc_id", "text_key", "n", F.coalesce("component_id", "doc_id").alias("component"))
+    return known.join(named.hint("merge"), same, "left").select("doc_id", "text_key", "n", F.coalesce("component_id", "doc_id").alias("component"))
 
 
 def near_duplicates(
