@@ -94,11 +94,13 @@ def http_date(text: Column) -> Column:
     """Seconds since 1970 of the three date forms of RFC 9110, or null."""
     t = F.trim(text)
     fixed = F.regexp_extract(t, r"^\w{3}, (\d{2} \w{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
-    old = F.regexp_extract(t, r"^\w+, (\d{2}-\w{3}-\d{2} \d{2}:\d{2}:\d{2}) GMT$", 1)
+    short = F.regexp_extract(t, r"^\w+, (\d{2}-\w{3}-\d{2} \d{2}:\d{2}:\d{2}) GMT$", 1)
+    # years of two digits are those from 1969 on
+    old = F.regexp_replace(F.regexp_replace(short, r"-((?:69|[789]\d) )", "-19$1"), r"-(\d{2} )", "-20$1")
     plain = F.regexp_replace(F.regexp_extract(t, r"^\w{3} (\w{3} [ \d]\d \d{2}:\d{2}:\d{2} \d{4})$", 1), "  ", " 0")
     found = F.coalesce(
         F.try_to_timestamp(F.nullif(fixed, F.lit("")), F.lit("dd MMM yyyy HH:mm:ss")),
-        F.try_to_timestamp(F.nullif(old, F.lit("")), F.lit("dd-MMM-yy HH:mm:ss")),
+        F.try_to_timestamp(F.nullif(old, F.lit("")), F.lit("dd-MMM-yyyy HH:mm:ss")),
         F.try_to_timestamp(F.nullif(plain, F.lit("")), F.lit("MMM dd HH:mm:ss yyyy")),
     )
     return F.unix_timestamp(found)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headloom.functions import headers as H
@@ -24,10 +24,12 @@ def entries(e: DataFrame) -> DataFrame:
 
 def clusters(found: DataFrame, axis: str | Column, out: str, members: int = 8) -> DataFrame:
     """Names, responses and bytes by axis, with the commonest members."""
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("responses")).alias("r"), "name")))  # names of one cluster: as many as there are header names
-    rows = found.groupBy(F.col(axis).alias(out) if isinstance(axis, str) else axis.alias(out))
-    rows = rows.agg(rows_in().alias("names"), F.sum("responses").alias("responses"), F.sum("bytes").alias("bytes"), ranked.alias("m"))
-    return rows.withColumn("members", F.array_join(F.transform(F.slice("m", 1, members), lambda x: x["name"]), ", ")).drop("m")
+    found = found.withColumn(out, F.col(axis) if isinstance(axis, str) else axis)
+    sums = found.groupBy(out).agg(rows_in().alias("names"), F.sum("responses").alias("responses"), F.sum("bytes").alias("bytes"))
+    nth = F.row_number().over(Window.partitionBy(out).orderBy(F.desc("responses"), "name"))  # the engine keeps the first few of a group as it sorts
+    first = found.withColumn("nth", nth).filter(F.col("nth") <= members).groupBy(out).agg(F.array_sort(F.collect_list(F.struct("nth", "name"))).alias("m"))
+    shown = F.array_join(F.transform("m", lambda x: x["name"]), ", ").alias("members")
+    return sums.join(first, out).select(out, "names", "responses", "bytes", shown)
 
 
 def totals(found: DataFrame) -> DataFrame:

@@ -32,13 +32,18 @@ def pair_counts(e: DataFrame, tokens: Column) -> DataFrame:
 
 def lifts(e: DataFrame, tokens: Column, limit: int = 25) -> DataFrame:
     """The ``limit`` commonest pairs with P(a|b), P(b|a) and lift; 0 where a marginal is missing."""
-    best = pair_counts(e, tokens).orderBy(F.desc("occ"), "pair").limit(limit)
+    return lifts_of(pair_counts(e, tokens), marginal_counts(e, tokens), e, limit)
+
+
+def lifts_of(pairs: DataFrame, each: DataFrame, e: DataFrame, limit: int = 25) -> DataFrame:
+    """The same from counts of pairs and of tokens; the number of rows of ``e`` is part of the plan."""
+    best = pairs.orderBy(F.desc("occ"), "pair").limit(limit)
     best = best.select(F.split_part("pair", F.lit(", "), F.lit(1)).alias("a"), F.split_part("pair", F.lit(", "), F.lit(2)).alias("b"), F.col("occ").alias("joint"))
-    each = marginal_counts(e, tokens).select("token", "occ")
-    total = e.count()
+    each = each.select("token", "occ")
+    total = e.agg(F.count(F.lit(1))).scalar().cast("double")
     out = best.join(each.toDF("a", "na"), "a", "left").join(each.toDF("b", "nb"), "b", "left")
     part = lambda x, y: F.round(F.coalesce(F.try_divide(x, y), F.lit(0.0)), 6)
-    return out.select("a", "b", "joint", part(F.col("joint"), F.col("nb")).alias("p_a_given_b"), part(F.col("joint"), F.col("na")).alias("p_b_given_a"), part(F.col("joint") * F.lit(float(total)), F.col("na") * F.col("nb")).alias("lift"))
+    return out.select("a", "b", "joint", part(F.col("joint"), F.col("nb")).alias("p_a_given_b"), part(F.col("joint"), F.col("na")).alias("p_b_given_a"), part(F.col("joint") * total, F.col("na") * F.col("nb")).alias("lift"))
 
 
 def by_layer(e: DataFrame, tokens: Column) -> DataFrame:

@@ -47,6 +47,12 @@ def header_bytes(e: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("h.name").alias("name")).agg(F.sum(H.line_bytes(F.col("h"))).alias("bytes"))
 
 
+def mean_bytes(e: DataFrame) -> DataFrame:
+    """Bytes, lines and mean size of each header."""
+    both = header_bytes(e).join(field_counts(e), "name")
+    return both.select("name", "bytes", "occ", F.round(F.col("bytes") / F.col("occ"), 6).alias("mean"))
+
+
 def _block(e: DataFrame) -> DataFrame:
     own = F.filter("headers", lambda h: ~H.from_crawler(h["name"]))
     return e.select(F.aggregate(own, F.lit(0).cast("long"), lambda s, h: s + H.line_bytes(h)).alias("bytes"))

@@ -62,9 +62,9 @@ def numeric_max(e: DataFrame) -> DataFrame:
 
 
 def samples(rows: DataFrame, keys: list[str], limit: int, sites: DataFrame | None = None) -> DataFrame:
-    """Up to ``limit`` URLs of distinct sites for each key, the smallest URL of a site, sites in order. Only sites
-    that are listed serve as samples; counts elsewhere are not touched."""
-    rows = rows.filter("url is not null and site is not null")
+    """Up to ``limit`` URLs of distinct sites for each key, the smallest URL of a site, sites in order; a response
+    without a site stands for itself. Only sites that are listed serve as samples; counts elsewhere are not touched."""
+    rows = rows.filter("url is not null").withColumn("site", F.coalesce("site", "url"))
     if sites is not None:
         rows = rows.join(sites.select("site").distinct(), "site", "left_semi")
     one = rows.groupBy(*keys, "site").agg(F.min("url").alias("url"))
@@ -80,7 +80,8 @@ def var_samples(e: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     """Samples by header name, with the values as sent where they are no secrets."""
     found = samples(tracked(e).filter("var = 'field_name'"), ["note_id", "var", "val"], 15, sites)
     shown = F.transform(F.filter("headers", lambda h: h["name"] == F.col("val")), lambda h: T.shown_value(h["name"], h["value"]))
-    sent = e.groupBy(F.col("url")).agg(F.first("headers").alias("headers"))
+    # headers of the few sampled URLs alone, of a URL's first response where there are several
+    sent = e.join(found.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.min_by("headers", "resp_id").alias("headers"))
     return found.join(sent, "url").withColumn("field_values", F.to_json(F.array_compact(shown))).drop("headers")
 
 
@@ -106,6 +107,19 @@ def note_pairs(e: DataFrame) -> DataFrame:
     return rows.groupBy("pair").agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
 
 
+def note_lifts(e: DataFrame, limit: int = 25) -> DataFrame:
+    """The ``limit`` commonest pairs of findings with P(a|b), P(b|a) and lift."""
+    from headloom.operators.cooccur import lifts_of
+
+    return lifts_of(note_pairs(e), note_marginals(e).withColumnRenamed("note_id", "token"), e, limit)
+
+
+def by_field(e: DataFrame) -> DataFrame:
+    """Findings on each header: occurrences and kinds."""
+    rows = note_vars(e).filter("var = 'field_name'").groupBy(F.lower("val").alias("field"))
+    return rows.agg(F.sum("occ").alias("occ"), F.countDistinct("note_id").alias("types"))
+
+
 def unseen(e: DataFrame) -> DataFrame:
     """Known note ids that never fired, and why: reachable, request only, body only."""
     spark = e.sparkSession

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from headloom import config
@@ -50,7 +50,7 @@ _of("total_responses", counters.total_responses, "SELECT count(*) AS responses F
 _of("header_counts", counters.field_counts, "SELECT name, count(*) AS occ FROM hdr GROUP BY name")
 _of("unregistered_presence", counters.unregistered, f"SELECT name, count(DISTINCT resp_id) AS responses FROM hdr WHERE name NOT IN ({_KNOWN}) AND name NOT LIKE 'x-crawler-%' GROUP BY name")
 _of("severity_rollup", counters.severity, "SELECT s AS severity, count(*) AS responses FROM (SELECT r.resp_id, CASE max(CASE level WHEN 'bad' THEN 4 WHEN 'warn' THEN 3 WHEN 'info' THEN 2 WHEN 'good' THEN 1 ELSE 0 END) WHEN 4 THEN 'bad' WHEN 3 THEN 'warn' WHEN 2 THEN 'info' WHEN 1 THEN 'good' ELSE 'clean' END AS s FROM resp r LEFT JOIN notes n ON n.resp_id = r.resp_id GROUP BY r.resp_id) GROUP BY s")
-_of("health_pct", lambda e: counters.severity(e).withColumn("pct", F.round(F.col("responses") * 100.0 / F.lit(max(1, e.count())), 6)), "SELECT s AS severity, count(*) AS responses, round(count(*) * 100.0 / (SELECT count(*) FROM resp), 6) AS pct FROM (SELECT r.resp_id, CASE max(CASE level WHEN 'bad' THEN 4 WHEN 'warn' THEN 3 WHEN 'info' THEN 2 WHEN 'good' THEN 1 ELSE 0 END) WHEN 4 THEN 'bad' WHEN 3 THEN 'warn' WHEN 2 THEN 'info' WHEN 1 THEN 'good' ELSE 'clean' END AS s FROM resp r LEFT JOIN notes n ON n.resp_id = r.resp_id GROUP BY r.resp_id) GROUP BY s")
+_of("health_pct", lambda e: counters.severity(e).withColumn("pct", F.round(F.col("responses") * 100.0 / F.sum("responses").over(Window.partitionBy()), 6)), "SELECT s AS severity, count(*) AS responses, round(count(*) * 100.0 / (SELECT count(*) FROM resp), 6) AS pct FROM (SELECT r.resp_id, CASE max(CASE level WHEN 'bad' THEN 4 WHEN 'warn' THEN 3 WHEN 'info' THEN 2 WHEN 'good' THEN 1 ELSE 0 END) WHEN 4 THEN 'bad' WHEN 3 THEN 'warn' WHEN 2 THEN 'info' WHEN 1 THEN 'good' ELSE 'clean' END AS s FROM resp r LEFT JOIN notes n ON n.resp_id = r.resp_id GROUP BY r.resp_id) GROUP BY s")
 _of("byte_economics", counters.header_bytes, "SELECT name, CAST(sum(n) AS BIGINT) AS bytes FROM bytes GROUP BY name")
 _of("total_header_bytes", counters.total_header_bytes, "SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_header_bytes FROM bytes")
 _of("block_hist", lambda e: counters.block_histogram(e).drop("ord"), "SELECT CASE WHEN b < 256 THEN '<256 B' WHEN b < 1024 THEN '256-1023 B' ELSE '1-4 KB' END AS bucket, count(*) AS responses FROM (SELECT r.resp_id, coalesce(sum(n), 0) AS b FROM resp r LEFT JOIN bytes USING (resp_id) GROUP BY r.resp_id) GROUP BY 1")
@@ -121,6 +121,12 @@ _of("unseen_anti", findings.unseen, f"SELECT note_id, kind FROM (VALUES {', '.jo
 _of("fires_per_occurrence", findings.fires_per_occurrence, "SELECT note_id, val, occ, field_occ, round(occ / field_occ, 6) AS rate FROM (SELECT note_id, val, count(*) AS occ FROM vars WHERE var = 'field_name' GROUP BY 1, 2) LEFT JOIN (SELECT name AS val, count(*) AS field_occ FROM hdr GROUP BY 1) USING (val)")
 _of("layer_rates", findings.layer_rates, "SELECT note_id, layer, occ, round(occ * 100.0 / total, 6) AS share, round(occ * 100.0 / responses, 6) AS rate FROM (SELECT note_id, layer, count(*) AS occ FROM notes JOIN lay USING (resp_id) GROUP BY 1, 2) JOIN (SELECT note_id, count(*) AS total FROM notes GROUP BY 1) USING (note_id) JOIN (SELECT layer, count(*) AS responses FROM lay GROUP BY 1) USING (layer)")
 
+_of("note_lifts", findings.note_lifts, """, pc AS (SELECT a.note_id AS a, b.note_id AS b, count(*) AS joint FROM fired a JOIN fired b ON a.resp_id = b.resp_id AND a.note_id < b.note_id WHERE NOT EXISTS (FROM fnd WHERE (fnd.note_id = a.note_id AND fnd.parent = b.note_id) OR (fnd.note_id = b.note_id AND fnd.parent = a.note_id)) GROUP BY 1, 2),
+m AS (SELECT note_id, count(*) AS n FROM fired GROUP BY note_id), j AS (SELECT * FROM pc ORDER BY joint DESC, a || ', ' || b LIMIT 25)
+SELECT j.a, j.b, joint, round(joint / nb.n, 6) AS p_a_given_b, round(joint / na.n, 6) AS p_b_given_a, round(joint * (SELECT count(*) FROM resp) / (na.n * nb.n), 6) AS lift FROM j JOIN m na ON na.note_id = a JOIN m nb ON nb.note_id = b""")
+_of("findings_by_field", findings.by_field, "SELECT lower(val) AS field, count(*) AS occ, count(DISTINCT note_id) AS types FROM vars WHERE var = 'field_name' GROUP BY 1")
+_of("byte_means", counters.mean_bytes, "SELECT name, CAST(sum(n) AS BIGINT) AS bytes, occ, round(sum(n) / occ, 6) AS mean FROM bytes JOIN (SELECT name, count(*) AS occ FROM hdr GROUP BY name) USING (name) GROUP BY name, occ")
+
 # Transition and census --------------------------------------------------------------------------------
 _of("transition_occ", transition.counts, "SELECT pair, category, count(*) AS occ FROM moves GROUP BY 1, 2")
 _TR = '''SELECT p.*, count(*) FILTER (category = 'both') AS "both", count(*) FILTER (category = 'modern_only') AS modern_only, count(*) FILTER (category = 'legacy_only') AS legacy_only, count(*) FILTER (category = 'neither') AS neither, count(DISTINCT site) FILTER (category IN ('both', 'modern_only')) AS modern_sites, count(DISTINCT site) FILTER (category IN ('both', 'legacy_only')) AS legacy_sites FROM pk p LEFT JOIN moves m USING (pair) GROUP BY ALL'''
@@ -143,8 +149,8 @@ for _axis in ("vendor", "family", "prefix"):
 def _trimmed(e: DataFrame) -> DataFrame:
     """The ten commonest headers, and what the cut leaves out."""
     counts = counters.field_counts(e)
-    n, truncated = ranking.cut(counts, 10).first()
-    return ranking.top(counts, 10, "occ", "name").withColumns({"n_total": F.lit(n).cast("long"), "truncated": F.lit(truncated)})
+    n = counts.agg(F.count(F.lit(1))).scalar()
+    return ranking.top(counts, 10, "occ", "name").withColumn("n_total", n).withColumn("truncated", F.col("n_total") > 10)
 
 
 _of("census_top", lambda e: ranking.top(census.entries(e).select("name", "responses"), 10, "responses", "name"), f", {_CENSUS} SELECT name, responses FROM cen ORDER BY responses DESC, name LIMIT 10")
@@ -173,6 +179,38 @@ def _top_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_sites(rows, best).select("resp_id", "site")
 
 
+@_on("http_dates", "SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS seconds FROM orders WHERE o_orderkey % 4 < 3 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 4 = 3")
+def _http_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three forms of a date, in turn, and one that is none."""
+    day = F.col("o_orderdate")
+    form = F.when(F.col("o_orderkey") % 4 == 0, F.date_format(day, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).when(F.col("o_orderkey") % 4 == 1, F.date_format(day, "EEEE, dd-MMM-yy HH:mm:ss 'GMT'"))
+    padded = F.concat_ws(" ", F.date_format(day, "EEE MMM"), F.lpad(F.dayofmonth(day).cast("string"), 2, " "), F.date_format(day, "HH:mm:ss yyyy"))
+    form = form.when(F.col("o_orderkey") % 4 == 2, padded).otherwise(F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.http_date(form).alias("seconds"))
+
+
+@_on("latin1_text", r"SELECT doc_id, md5(regexp_replace(text, '[^\x{0}-\x{FF}]', '?', 'g')) AS digest FROM documents")
+def _latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.latin1(F.col("text")).cast("binary")).alias("digest"))
+
+
+@_on("exit_failures", "SELECT failure, count(*) AS workers FROM (SELECT CASE WHEN event_id % 23 = 22 THEN 'warc_exit_unknown' WHEN event_id % 23 < 20 THEN CASE 14 - event_id % 23 - 12 WHEN 0 THEN 'warc_exit_zero' WHEN 1 THEN 'warc_exit_nonzero' WHEN 2 THEN 'warc_exit_nonzero' WHEN -9 THEN 'warc_signal_sigkill' WHEN -10 THEN 'warc_signal_sigbus' WHEN -11 THEN 'warc_signal_sigsegv' WHEN -15 THEN 'warc_signal_sigterm' ELSE 'warc_signal_other' END ELSE 'warc_exit_nonzero' END AS failure FROM events) GROUP BY 1")
+def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exit codes from 2 down to -17, 137 and none."""
+    turn = F.col("event_id") % 23
+    code = F.when(turn < 20, 2 - turn).when(turn < 22, 137)
+    return table(spark, sf_dir, "events").groupBy(T.failure(code).alias("failure")).agg(F.count(F.lit(1)).alias("workers"))
+
+
+@_on("shown_values", """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE md5(CASE WHEN length(v) > 300 THEN left(v, 300) || '…[truncated]' ELSE v END) END AS shown
+FROM (SELECT doc_id, regexp_replace('/p?token=abc&q=1 ' || text, '([?&](signature|sig|s|token|access_token|auth|key|apikey|api_key|hmac|x-amz-signature|x-amz-security-token|x-goog-signature)=)[^&[:space:]]+', '\\1[redacted]', 'gi') AS v FROM documents)""")
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header values for display: secrets gone, long ones cut, none of a secret header."""
+    field = F.when(F.col("doc_id") % 5 == 0, "Set-Cookie").otherwise("Location")
+    value = T.shown_value(field, F.concat(F.lit("/p?token=abc&q=1 "), F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(value.cast("binary")).alias("shown"))
+
+
 @_on("redact", "SELECT page_id, regexp_replace(url || '?Token=SEKRET&p=' || page_id || '&x-amz-signature=ZZ%20Z', '((?:[?&])(?:signature|sig|s|token|access_token|auth|key|apikey|api_key|hmac|x-amz-signature|x-amz-security-token|x-goog-signature)=)[^&[:space:]]+', '\\1[redacted]', 'gi') AS url FROM pages")
 def _redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat("url", F.lit("?Token=SEKRET&p="), F.col("page_id").cast("string"), F.lit("&x-amz-signature=ZZ%20Z"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,9 +21,12 @@ def wat_path(path: Column | str) -> Column:
 
 
 def chunks(paths: DataFrame, n: int) -> DataFrame:
-    """Adds ``chunk``: contiguous runs of ceil(rows / n) paths in path order; the last chunks may be missing."""
-    from pyspark.sql import Window
-
-    total = paths.count()
-    size = max(1, -(-total // n))
-    return paths.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy("path")) - 1) / size).cast("int"))
+    """Adds ``chunk``: contiguous runs of ceil(rows / n) paths in path order; the last chunks may be missing. Ranges
+    of paths are numbered side by side, each from the counts of those before it."""
+    dealt = paths.repartitionByRange("path").withColumn("_part", F.spark_partition_id())
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("path")) - 1
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = dealt.groupBy("_part").count().select("_part", before.alias("_start"), F.sum("count").over(Window.partitionBy()).alias("_all"))  # a row a range
+    size = F.greatest(F.lit(1), F.ceil(F.col("_all") / n))
+    numbered = dealt.withColumn("_nth", nth).join(starts, "_part")
+    return numbered.withColumn("chunk", F.floor((F.col("_start") + F.col("_nth")) / size).cast("int")).select(*paths.columns, "chunk")
