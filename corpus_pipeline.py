@@ -1,4 +1,8 @@
-"""A training corpus from raw documents, in five stages."""
+"""A training corpus from raw documents, in five stages.
+
+Every stage takes rows with null ids, null, empty and very long texts, repeated rows, an empty table, and columns of
+any other names, which pass through all stages but the last; what becomes of such rows is stated by the operators.
+"""
 
 from __future__ import annotations
 
@@ -34,9 +38,9 @@ def _schedule(docs: DataFrame) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the schedule that mixes the sources."""
     tuned(spark)
-    order = _schedule(docs).select(F.col("doc_id").alias("_id"), F.col("position").alias("_position"))
-    put = docs.join(order, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return put.sort("_position").select(*[docs[c] for c in docs.columns])
+    order = _schedule(docs).select(F.col("doc_id").alias("at"), "position").alias("_schedule")
+    put = docs.alias("_docs").join(order, F.col("_docs.doc_id").eqNullSafe(F.col("_schedule.at")), "left")
+    return put.sort("_schedule.position").select("_docs.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The classifier is fitted by iteration, which SQL can't express; a brute-force test stands in.
+#: The classifier is fitted by iteration, which SQL can't express; tests hold the dedup stages against brute force.
 ORACLE_SQL = None
 
 
