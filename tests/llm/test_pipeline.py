@@ -3,6 +3,7 @@ from collections import Counter
 import corpus_pipeline
 from headloom.llm import exact_dedup, mixing, near_dedup, quality
 from tests.conftest import SF
+from tests.llm.test_dedup import brute_near, lowered
 
 
 def test_stages(spark, tmp_path):
@@ -25,6 +26,28 @@ def test_stages(spark, tmp_path):
     assert sizes[0] < 200 and sizes[1] <= sizes[0] and sizes[2] <= sizes[1] and sizes[3] == sizes[2]
 
 
+def test_awkward_rows_pass_the_middle_stages(spark, awkward, nothing, tmp_path):
+    names = {"row": "_id", "n": "_position", "name": "position"}
+    docs = awkward.withColumnsRenamed(names)
+    best: dict = {}
+    for r in docs.collect():
+        key = lowered(r.text)
+        best[key] = max(best.get(key, -1), -1 if r.doc_id is None else r.doc_id)
+    exact = corpus_pipeline.exact_stage(spark, docs, SF)
+    exact.write.parquet(f"file://{tmp_path}/exact")
+    exact = spark.read.parquet(f"file://{tmp_path}/exact")
+    rows = exact.collect()
+    assert {lowered(r.text): -1 if r.doc_id is None else r.doc_id for r in rows} == best and len(rows) == len(best)
+    near = corpus_pipeline.near_stage(spark, exact, SF)
+    near.write.parquet(f"file://{tmp_path}/near")
+    near = spark.read.parquet(f"file://{tmp_path}/near")
+    want = brute_near([(r.doc_id, r.text) for r in rows], 5)
+    assert sorted(r.doc_id for r in near.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+    mixed = corpus_pipeline.mixing_stage(spark, near, SF)
+    assert mixed.columns == docs.columns and sorted(map(repr, mixed.collect())) == sorted(map(repr, near.collect()))
+    assert corpus_pipeline.mixing_stage(spark, nothing.withColumnsRenamed(names), SF).count() == 0
+
+
 def test_sequences_follow_the_mix(spark, tmp_path):
     rows = []
     for i in range(1500):
