@@ -6,14 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headloom.functions import headers as H
+from headloom.functions.counting import rows_in
 from headloom.operators.counters import header_bytes, unregistered
 
 
-def rows_in() -> Column:
-    return F.count(F.lit(1))
-
-
-
 def entries(e: DataFrame) -> DataFrame:
     """name, responses, bytes, vendor, family, prefix, well_known."""
     name = F.col("name")

@@ -6,11 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headloom.functions import headers as H
-
-
-def rows_in() -> Column:
-    return F.count(F.lit(1))
-
+from headloom.functions.counting import rows_in
 
 
 def security(e: DataFrame) -> Column:

@@ -6,14 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headloom.functions import headers as H
+from headloom.functions.counting import rows_in
 from headloom.functions import text as T
 from headloom.plans.enrich import header_rows
 from headloom.plans.rules import RANK
 
 
-def rows_in() -> Column:
-    return F.count(F.lit(1))
-
 UNMATCHED = "__unmatched__"
 
 

@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 
 from headloom import config
 from headloom.functions import headers as H
+from headloom.functions.counting import rows_in
 from headloom.functions import hll
 
 
-def rows_in() -> Column:
-    return F.count(F.lit(1))
-
-
-
 def recipes(e: DataFrame, tokens: Column) -> DataFrame:
     """Responses and distinct sites of each recipe; an empty one doesn't count."""
     rows = e.select("site", H.recipe(tokens).alias("recipe")).filter("recipe <> ''")

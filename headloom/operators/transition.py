@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headloom.functions import headers as H
+from headloom.functions.counting import rows_in
 
 
-def rows_in() -> Column:
-    return F.count(F.lit(1))
-
 CATEGORIES = ["both", "modern_only", "legacy_only", "neither"]
 
 
