@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def rows_in() -> Column:
     return F.count(F.lit(1))
+
+
+def with_sites(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows and distinct sites of each key."""
+    return rows.groupBy(*keys).agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))

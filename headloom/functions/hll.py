@@ -20,13 +20,19 @@ def registers(df: DataFrame, keys: list[str], item: str, p: int) -> DataFrame:
     """Null and empty items don't count."""
     index, rho = register(F.col(item), p)
     rows = df.filter(F.length(F.coalesce(item, F.lit(""))) > 0).withColumns({"idx": index, "rho": rho})
+    return union(rows, keys)
+
+
+def union(rows: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
+    """Registers of the union of all sets that share ``keys``; beyond ``width``, the least of several widths, none count."""
+    rows = rows if width is None else rows.filter(F.col("idx") < width)
     return rows.groupBy(*keys, "idx").agg(F.max("rho").alias("rho"))
 
 
 def estimate(rows: DataFrame, keys: list[str], p: int, out: str = "sites") -> DataFrame:
     m = 1 << p
     alpha = 0.7213 / (1 + 1.079 / m)
-    found = rows.groupBy(*keys).agg(F.sum(F.pow(F.lit(2.0), -F.col("rho"))).alias("s"), F.count(F.lit(1)).alias("used"))
+    found = rows.groupBy(*keys).agg(F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col("rho"))), F.lit(0.0)).alias("s"), F.count(F.lit(1)).alias("used"))
     empty = m - F.col("used")
     raw = alpha * m * m / (F.col("s") + empty)
     linear = m * F.log(m / empty)

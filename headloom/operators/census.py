@@ -12,8 +12,12 @@ from headloom.operators.counters import header_bytes, unregistered
 
 def entries(e: DataFrame) -> DataFrame:
     """name, responses, bytes, vendor, family, prefix, well_known."""
+    return entries_of(unregistered(e), header_bytes(e))
+
+
+def entries_of(seen: DataFrame, sizes: DataFrame) -> DataFrame:
     name = F.col("name")
-    rows = unregistered(e).filter(H.category(name) == "proprietary").join(header_bytes(e), "name", "left").na.fill(0, ["bytes"])
+    rows = seen.filter(H.category(name) == "proprietary").join(sizes, "name", "left").na.fill(0, ["bytes"])
     vendor = F.coalesce(H.vendor(name), F.lit("__unattributed__"))
     return rows.withColumns({"vendor": vendor, "family": H.family(name), "prefix": H.name_prefix(name), "well_known": H.well_known(name)})
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from headloom import config
 from headloom.functions import headers as H
 from headloom.functions.counting import rows_in
 from headloom.functions import text as T
@@ -47,7 +48,11 @@ def header_bytes(e: DataFrame) -> DataFrame:
 
 def mean_bytes(e: DataFrame) -> DataFrame:
     """Bytes, lines and mean size of each header."""
-    both = header_bytes(e).join(field_counts(e), "name")
+    return means_of(header_bytes(e), field_counts(e))
+
+
+def means_of(sizes: DataFrame, counts: DataFrame) -> DataFrame:
+    both = sizes.join(counts, "name")
     return both.select("name", "bytes", "occ", F.round(F.col("bytes") / F.col("occ"), 6).alias("mean"))
 
 
@@ -68,8 +73,12 @@ def block_histogram(e: DataFrame) -> DataFrame:
 
 def category_bytes(e: DataFrame) -> DataFrame:
     """Bytes in standard, deprecated and proprietary headers."""
-    kinds = e.sparkSession.createDataFrame([("standard",), ("deprecated",), ("proprietary",)], "category string")
-    sums = header_bytes(e).groupBy(H.category(F.col("name")).alias("category")).agg(F.sum("bytes").alias("bytes"))
+    return categories_of(header_bytes(e))
+
+
+def categories_of(sizes: DataFrame) -> DataFrame:
+    kinds = sizes.sparkSession.createDataFrame([("standard",), ("deprecated",), ("proprietary",)], "category string")
+    sums = sizes.groupBy(H.category(F.col("name")).alias("category")).agg(F.sum("bytes").alias("bytes"))
     return kinds.join(sums, "category", "left").na.fill(0, ["bytes"])
 
 
@@ -81,7 +90,11 @@ def policy_sizes(e: DataFrame) -> DataFrame:
 
 
 def policy_buckets(e: DataFrame) -> DataFrame:
-    return policy_sizes(e).groupBy(T.policy_bucket(F.col("size")).alias("bucket")).agg(rows_in().alias("sites"))
+    return policy_buckets_of(policy_sizes(e))
+
+
+def policy_buckets_of(sizes: DataFrame) -> DataFrame:
+    return sizes.groupBy(T.policy_bucket(F.col("size")).alias("bucket")).agg(rows_in().alias("sites"))
 
 
 def layer_counts(e: DataFrame) -> DataFrame:
@@ -97,6 +110,22 @@ def asn_counts(e: DataFrame) -> DataFrame:
     return e.filter("asn is not null").groupBy("asn").agg(rows_in().alias("responses"))
 
 
+def networks(counts: DataFrame) -> DataFrame:
+    """Operator and layer of each network; null where none is known."""
+    names = [x for k, v in config.fields().asn_operators.items() for x in (F.lit(k), F.lit(v))]
+    layer = F.when(F.lit(False), "")
+    for x in config.layers():
+        if x.asns:
+            layer = layer.when(F.col("asn").isin(list(x.asns)), x.id)
+    return counts.withColumns({"operator": F.try_element_at(F.create_map(*names), F.col("asn").cast("int")), "layer": layer})
+
+
+def layer_roles(counts: DataFrame) -> DataFrame:
+    """Role of each layer; empty where the table has none."""
+    role = F.create_map(*[x for layer in config.layers() for x in (F.lit(layer.id), F.lit(layer.role))])
+    return counts.withColumn("role", F.coalesce(F.try_element_at(role, F.col("layer")), F.lit("")))
+
+
 def value_histograms(e: DataFrame) -> DataFrame:
     """Seven lifetimes that headers declare, in buckets."""
     h = F.col("headers")

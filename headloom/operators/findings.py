@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headloom.functions import headers as H
-from headloom.functions.counting import rows_in
+from headloom.functions.counting import rows_in, with_sites
 from headloom.functions import text as T
 from headloom.plans import rules
 from headloom.plans.enrich import note_rows
 
 
 COOCCUR = ("bad", "warn")
+#: Numbers of Vary members that are sampled.
+VARY_COUNTS = ["6", "7", "8", "9", "10", "11", "12", "27"]
 
 
 def note_counts(e: DataFrame) -> DataFrame:
-    return note_rows(e).groupBy("note_id").agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
+    return with_sites(note_rows(e), "note_id")
 
 
 def note_by_layer(e: DataFrame) -> DataFrame:
@@ -59,13 +61,14 @@ def numeric_max(e: DataFrame) -> DataFrame:
     return rows.groupBy("note_id", F.col("vars")["field_name"].alias("field_name")).agg(F.max(size).alias("largest")).filter("largest is not null")
 
 
-def samples(rows: DataFrame, keys: list[str], limit: int, sites: DataFrame | None = None) -> DataFrame:
+def samples(rows: DataFrame, keys: list[str], limit: int, sites: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """Up to ``limit`` URLs of distinct sites for each key, the smallest URL of a site, sites in order; a response
-    without a site stands for itself. Only sites that are listed serve as samples; counts elsewhere are not touched."""
+    without a site stands for itself. Only sites that are listed serve as samples; counts elsewhere are not touched. ``more`` columns come along.
+    Samples of samples are those of all rows."""
     rows = rows.filter("url is not null").withColumn("site", F.coalesce("site", "url"))
     if sites is not None:
         rows = rows.join(sites.select("site").distinct(), "site", "left_semi")
-    one = rows.groupBy(*keys, "site").agg(F.min("url").alias("url"))
+    one = rows.groupBy(*keys, "site").agg(F.min("url").alias("url"), *[F.min_by(c, "url").alias(c) for c in more])
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("url"))
     return one.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
@@ -75,9 +78,11 @@ def note_samples(e: DataFrame, sites: DataFrame | None = None) -> DataFrame:
 
 
 def var_samples(e: DataFrame, sites: DataFrame | None = None) -> DataFrame:
-    """Samples by header name, with the values as sent where they are no secrets."""
-    found = samples(tracked(e).filter("var = 'field_name'"), ["note_id", "var", "val"], 15, sites)
-    shown = F.transform(F.filter("headers", lambda h: h["name"] == F.col("val")), lambda h: T.shown_value(h["name"], h["value"]))
+    """Samples by header name, and by some numbers of Vary members, with the values as sent where they are no secrets."""
+    vary = (F.col("note_id") == "VARY_COMPLEX") & (F.col("var") == "vary_count") & F.col("val").isin(VARY_COUNTS)
+    found = samples(tracked(e).filter((F.col("var") == "field_name") | vary), ["note_id", "var", "val"], 15, sites)
+    name = F.when(F.col("var") == "vary_count", "vary").otherwise(F.col("val"))
+    shown = F.transform(F.filter("headers", lambda h: h["name"] == name), lambda h: T.shown_value(h["name"], h["value"]))
     # headers of the few sampled URLs alone, of a URL's first response where there are several
     sent = e.join(found.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.min_by("headers", "resp_id").alias("headers"))
     return found.join(sent, "url").withColumn("field_values", F.to_json(F.array_compact(shown))).drop("headers")
@@ -91,25 +96,36 @@ def fired(e: DataFrame) -> DataFrame:
     return e.select("resp_id", "site", ids.alias("ids"), F.array_distinct(edges).alias("lineage"))
 
 
+def bundle_rows(e: DataFrame) -> DataFrame:
+    return fired(e).select("site", H.bundle(F.col("ids")).alias("bundle"))
+
+
+def fired_rows(e: DataFrame) -> DataFrame:
+    return fired(e).select("site", F.explode("ids").alias("note_id"))
+
+
+def pair_rows(e: DataFrame) -> DataFrame:
+    return fired(e).select("site", F.explode(F.array_except(H.pairs(F.col("ids")), F.col("lineage"))).alias("pair"))
+
+
 def note_bundles(e: DataFrame) -> DataFrame:
-    return fired(e).groupBy(H.bundle(F.col("ids")).alias("bundle")).agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
+    return with_sites(bundle_rows(e), "bundle")
 
 
 def note_marginals(e: DataFrame) -> DataFrame:
-    return fired(e).select("site", F.explode("ids").alias("note_id")).groupBy("note_id").agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
+    return with_sites(fired_rows(e), "note_id")
 
 
 def note_pairs(e: DataFrame) -> DataFrame:
     """Findings that occur together; a finding and its ancestor don't pair."""
-    rows = fired(e).select("site", F.explode(F.array_except(H.pairs(F.col("ids")), F.col("lineage"))).alias("pair"))
-    return rows.groupBy("pair").agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
+    return with_sites(pair_rows(e), "pair")
 
 
 def note_lifts(e: DataFrame, limit: int = 25) -> DataFrame:
     """The ``limit`` commonest pairs of findings with P(a|b), P(b|a) and lift."""
     from headloom.operators.cooccur import lifts_of
 
-    return lifts_of(note_pairs(e), note_marginals(e).withColumnRenamed("note_id", "token"), e, limit)
+    return lifts_of(note_pairs(e), note_marginals(e).withColumnRenamed("note_id", "token"), e.agg(rows_in()).scalar(), limit)
 
 
 def by_field(e: DataFrame) -> DataFrame:
@@ -118,18 +134,36 @@ def by_field(e: DataFrame) -> DataFrame:
     return rows.agg(F.sum("occ").alias("occ"), F.countDistinct("note_id").alias("types"))
 
 
+def field_errors(values: DataFrame) -> DataFrame:
+    """Errors of structured fields, parted into field and problem, from counted values."""
+    both = F.split("val", ": ", 2)
+    return values.filter("var = 'field_error'").groupBy(both[0].alias("field"), both[1].alias("problem")).agg(F.sum("occ").alias("occ"))
+
+
 def unseen(e: DataFrame) -> DataFrame:
     """Known note ids that never fired, and why: reachable, request only, body only."""
-    spark = e.sparkSession
+    return unseen_of(note_rows(e).select("note_id").distinct())
+
+
+def unseen_of(seen: DataFrame) -> DataFrame:
     known = [(r.id, "reachable") for r in rules.rules()] + [(x, "request_only") for x in rules.REQUEST_ONLY] + [(x, "body_only") for x in rules.BODY_ONLY]
-    return spark.createDataFrame(known, "note_id string, kind string").join(note_rows(e).select("note_id").distinct(), "note_id", "left_anti")
+    return seen.sparkSession.createDataFrame(known, "note_id string, kind string").join(seen, "note_id", "left_anti")
 
 
 def by_category(e: DataFrame) -> DataFrame:
     """Occurrences, share and number of note ids by category."""
-    info = e.sparkSession.createDataFrame([(r.id, r.category, r.level) for r in rules.rules()], "note_id string, category string, level string")
-    rows = note_rows(e).groupBy("note_id").agg(rows_in().alias("occ")).join(F.broadcast(info), "note_id", "left")
-    rows = rows.groupBy(F.coalesce("category", F.lit("UNCATEGORIZED")).alias("category")).agg(F.sum("occ").alias("occ"), rows_in().alias("types"))
+    return categories_of(note_counts(e))
+
+
+def described(counts: DataFrame) -> DataFrame:
+    """Counts of findings with what the rule says: level, category, summary."""
+    info = counts.sparkSession.createDataFrame([(r.id, r.level, r.category, r.summary) for r in rules.rules()], "note_id string, level string, category string, summary string")
+    return counts.join(F.broadcast(info), "note_id", "left").withColumn("category", F.coalesce("category", F.lit("UNCATEGORIZED")))
+
+
+def categories_of(counts: DataFrame) -> DataFrame:
+    rows = described(counts)
+    rows = rows.groupBy("category").agg(F.sum("occ").alias("occ"), rows_in().alias("types"))
     total = F.sum("occ").over(Window.partitionBy())
     return rows.withColumn("share", F.round(F.col("occ") * 100.0 / total, 6))
 
@@ -147,6 +181,9 @@ def layer_rates(e: DataFrame) -> DataFrame:
     """Findings by layer: share of the finding, and rate over the layer's responses."""
     from headloom.operators.counters import layer_counts
 
-    rows = note_by_layer(e)
-    total = rows.join(note_rows(e).groupBy("note_id").agg(rows_in().alias("total")), "note_id").join(layer_counts(e), "layer", "left")
+    return rates_of(note_by_layer(e), note_counts(e), layer_counts(e))
+
+
+def rates_of(rows: DataFrame, notes: DataFrame, layers: DataFrame) -> DataFrame:
+    total = rows.join(notes.select("note_id", F.col("occ").alias("total")), "note_id").join(layers, "layer", "left")
     return total.select("note_id", "layer", "occ", F.round(F.try_divide(F.col("occ") * 100.0, F.col("total")), 6).alias("share"), F.round(F.try_divide(F.col("occ") * 100.0, F.col("responses")), 6).alias("rate"))

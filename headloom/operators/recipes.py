@@ -7,46 +7,58 @@ from pyspark.sql import functions as F
 
 from headloom import config
 from headloom.functions import headers as H
-from headloom.functions.counting import rows_in
 from headloom.functions import hll
+from headloom.functions.counting import with_sites
+
+
+def recipe_rows(e: DataFrame, tokens: Column) -> DataFrame:
+    return e.select("site", H.recipe(tokens).alias("recipe")).filter("recipe <> ''")
+
+
+def token_rows(e: DataFrame, tokens: Column) -> DataFrame:
+    return e.select("site", F.explode(F.array_distinct(tokens)).alias("token"))
 
 
 def recipes(e: DataFrame, tokens: Column) -> DataFrame:
     """Responses and distinct sites of each recipe; an empty one doesn't count."""
-    rows = e.select("site", H.recipe(tokens).alias("recipe")).filter("recipe <> ''")
-    return rows.groupBy("recipe").agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
+    return with_sites(recipe_rows(e, tokens), "recipe")
 
 
 def marginals(e: DataFrame, tokens: Column) -> DataFrame:
-    rows = e.select("site", F.explode(F.array_distinct(tokens)).alias("token"))
-    return rows.groupBy("token").agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
+    return with_sites(token_rows(e, tokens), "token")
 
 
 def site_estimates(e: DataFrame, tokens: Column, p: int = hll.RECIPE) -> DataFrame:
     """Estimated sites by recipe from mergeable registers."""
-    rows = e.select("site", H.recipe(tokens).alias("recipe")).filter("recipe <> ''")
-    return hll.estimate(hll.registers(rows, ["recipe"], "site", p), ["recipe"], p)
+    return hll.estimate(hll.registers(recipe_rows(e, tokens), ["recipe"], "site", p), ["recipe"], p)
 
 
 def vary_recipes(e: DataFrame) -> DataFrame:
     return recipes(e, H.vary_tokens(F.col("headers")))
 
 
-def vary_marginals(e: DataFrame) -> DataFrame:
+def vary_members() -> Column:
     """The wildcard is no field name."""
-    return marginals(e, F.array_remove(H.vary_tokens(F.col("headers")), "*"))
+    return F.array_remove(H.vary_tokens(F.col("headers")), "*")
 
 
-def factor_out(e: DataFrame, tokens: Column, drop: str, label: str) -> DataFrame:
+def vary_marginals(e: DataFrame) -> DataFrame:
+    return marginals(e, vary_members())
+
+
+def factored_rows(e: DataFrame, tokens: Column, drop: str, label: str) -> DataFrame:
     """Recipes without one token; those that it alone made up go under ``label``."""
     whole = H.recipe(tokens)
     rest = H.recipe(F.array_remove(tokens, drop))
-    rows = e.filter(whole != "").select("site", F.when(rest == "", label).otherwise(rest).alias("recipe"))
-    return rows.groupBy("recipe").agg(rows_in().alias("occ"), F.countDistinct("site").alias("sites"))
+    return e.filter(whole != "").select("site", F.when(rest == "", label).otherwise(rest).alias("recipe"))
+
+
+def vary_factored_rows(e: DataFrame) -> DataFrame:
+    return factored_rows(e, H.vary_tokens(F.col("headers")), "accept-encoding", "(accept-encoding only)")
 
 
 def vary_factored(e: DataFrame) -> DataFrame:
-    return factor_out(e, H.vary_tokens(F.col("headers")), "accept-encoding", "(accept-encoding only)")
+    return with_sites(vary_factored_rows(e), "recipe")
 
 
 #: Axes of negotiation that are of most interest.
@@ -54,13 +66,21 @@ AXES = ["accept-encoding", "user-agent", "cookie", "accept-language"]
 
 
 def vary_axes(e: DataFrame) -> DataFrame:
-    axes = e.sparkSession.createDataFrame([(x,) for x in AXES], "token string")
-    return axes.join(vary_marginals(e), "token", "left").na.fill(0, ["occ", "sites"])
+    return axes_of(vary_marginals(e))
+
+
+def axes_of(members: DataFrame) -> DataFrame:
+    axes = members.sparkSession.createDataFrame([(x,) for x in AXES], "token string")
+    return axes.join(members, "token", "left").na.fill(0, ["occ", "sites"])
 
 
 def vary_nonstandard(e: DataFrame) -> DataFrame:
     """Vary members that are no registered field names."""
-    return vary_marginals(e).filter(~H.is_registered(F.col("token")))
+    return unregistered_of(vary_marginals(e))
+
+
+def unregistered_of(members: DataFrame) -> DataFrame:
+    return members.filter(~H.is_registered(F.col("token")))
 
 
 def cc_recipes(e: DataFrame) -> DataFrame:
@@ -68,8 +88,16 @@ def cc_recipes(e: DataFrame) -> DataFrame:
 
 
 def cc_marginals(e: DataFrame) -> DataFrame:
-    return marginals(e, F.transform(H.cache_tokens(F.col("headers")), H.token_name))
+    return marginals(e, cc_names())
+
+
+def cc_names() -> Column:
+    return F.transform(H.cache_tokens(F.col("headers")), H.token_name)
 
 
 def cc_nonstandard(e: DataFrame) -> DataFrame:
-    return cc_marginals(e).filter(~F.col("token").isin(list(config.fields().cache_directives)))
+    return unknown_of(cc_marginals(e))
+
+
+def unknown_of(directives: DataFrame) -> DataFrame:
+    return directives.filter(~F.col("token").isin(list(config.fields().cache_directives)))

@@ -10,6 +10,7 @@ from headloom.functions.counting import rows_in
 
 
 CATEGORIES = ["both", "modern_only", "legacy_only", "neither"]
+MODERN, LEGACY = ["both", "modern_only"], ["both", "legacy_only"]
 
 
 def pairs(headers: Column) -> list[tuple[str, str, str, Column, Column | None]]:
@@ -42,15 +43,20 @@ def counts(e: DataFrame) -> DataFrame:
 
 def rows(e: DataFrame) -> DataFrame:
     """One row per pair, also where nothing was seen; ``ratio`` is null then."""
-    spark = e.sparkSession
-    listed = [(i, k, a, b, new is None) for i, (k, a, b, _, new) in enumerate(pairs(F.col("headers")))]
-    names = spark.createDataFrame(listed, "ord int, pair string, legacy string, modern string, legacy_only_pair boolean")
     own = lambda *cats: F.col("category").isin(*cats)
-    sums = categories(e).groupBy("pair").agg(
-        *[F.sum(own(c).cast("long")).alias(c) for c in CATEGORIES],
-        F.countDistinct(F.when(own("both", "modern_only"), F.col("site"))).alias("modern_sites"),
-        F.countDistinct(F.when(own("both", "legacy_only"), F.col("site"))).alias("legacy_sites"),
+    return rows_of(
+        categories(e).groupBy("pair").agg(
+            *[F.sum(own(c).cast("long")).alias(c) for c in CATEGORIES],
+            F.countDistinct(F.when(own(*MODERN), F.col("site"))).alias("modern_sites"),
+            F.countDistinct(F.when(own(*LEGACY), F.col("site"))).alias("legacy_sites"),
+        )
     )
+
+
+def rows_of(sums: DataFrame) -> DataFrame:
+    """The same from one row of sums for each pair that was seen."""
+    listed = [(i, k, a, b, new is None) for i, (k, a, b, _, new) in enumerate(pairs(F.col("headers")))]
+    names = sums.sparkSession.createDataFrame(listed, "ord int, pair string, legacy string, modern string, legacy_only_pair boolean")
     out = names.join(sums, "pair", "left").na.fill(0)
     modern, legacy = F.col("both") + F.col("modern_only"), F.col("both") + F.col("legacy_only")
     return out.withColumns({"modern_present": modern, "legacy_present": legacy, "scoped": modern + legacy, "ratio": F.round(F.try_divide(modern, modern + legacy), 6)})

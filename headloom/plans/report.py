@@ -10,10 +10,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headloom import config
 from headloom.functions import headers as H
 from headloom.functions import text as T
 from headloom.operators import census, cooccur, counters, findings, ranking, recipes, transition
-from headloom.plans import rules
+from headloom.plans import rules, store
+from headloom.plans.store import Tables
 
 SMALL = 1_000_000  # below this many responses, unseen notes say little
 
@@ -56,54 +58,117 @@ def _ordered(title: str, df: DataFrame, key: str, value: str, table: list) -> Se
     return Section(title, [key, value], [(label, found[label]) for label, _ in table if label in found])
 
 
-def sections(e: DataFrame) -> list[Section]:
-    """All sections over enriched responses; ``e`` should be a stored table, since each is a query of its own."""
-    total = e.count()
+#: Categories in the order in which they are shown; others follow by name.
+CATEGORY_ORDER = ["CACHING", "SECURITY", "COOKIES", "CORS", "CONNEG", "RANGE", "VALIDATION", "CONNECTION", "GENERAL"]
+#: Settings of a run that leave responses out.
+CAPS = ["top_sites", "record_limit", "warc_limit"]
+
+
+def _run(t: Tables) -> Section:
+    """What is known of the run, and which of its settings left responses out."""
+    known = dict(t("context").select("key", "value").collect())
+    capped = [k for k in CAPS if known.get(k, "0") not in ("", "0")]
+    return Section("Run", ["key", "value"], sorted(known.items()), notes=[f"This run was capped: {', '.join(capped)}."] if capped else [])
+
+
+def _findings(t: Tables, sites: int) -> list[Section]:
+    """Findings of each category, the worst first, and what never fired there. There are no more rows than rules."""
+    every = rules.rules()
+    found = [r for r in findings.described(t("notes")).collect()]
+    names = {r.category for r in every} | {r.category for r in found}
+    order = [c for c in CATEGORY_ORDER if c in names] + sorted(names - set(CATEGORY_ORDER))
+    out = []
+    for c in order:
+        rows = sorted((r for r in found if r.category == c), key=lambda r: (-rules.RANK.get(r.level, 0), -r.sites, -r.occ, r.note_id))
+        missing = sorted({r.id for r in every if r.category == c} - {r.note_id for r in rows})
+        shown = [(r.note_id, r.level, r.occ, r.sites, round(100.0 * r.sites / sites, 2) if sites else 0.0, r.summary) for r in rows]
+        notes = [f"Never seen: {', '.join(missing)}."] if missing else []
+        out.append(Section(f"Findings: {c}", ["note_id", "level", "occ", "sites", "site_pct", "summary"], shown, notes=notes))
+    return out
+
+
+def _values(t: Tables, limit: int = 15) -> list[Section]:
+    """Values of each tracked variable, buckets in their order and others by count; and the largest lines."""
+    counts = t("note_vars")
+    sizes = {(r.note_id, r.var): r.n for r in counts.groupBy("note_id", "var").agg(F.count(F.lit(1)).alias("n")).collect()}
+    best = ranking.top_in(counts, ["note_id", "var"], limit, "occ", "val").orderBy("note_id", "var", "rank").collect()
+    scale = {label: i for table in (T.DURATION, T.BYTES) for i, (label, _) in enumerate(table)}
+    out = []
+    for (note, var), n in sorted(sizes.items()):
+        rows = [(r.val, r.occ) for r in best if (r.note_id, r.var) == (note, var)]
+        if var.endswith("_bucket"):
+            rows.sort(key=lambda r: scale.get(r[0], len(scale)))
+        out.append(Section(f"{note}: {var}", ["value", "occ"], rows, max(0, n - limit)))
+    out.append(_table("Errors of structured fields", findings.field_errors(counts), ["field", "problem", "occ"], "occ", 50))
+    out.append(_table("Largest header lines", t("largest_lines"), ["note_id", "field_name", "largest"], "largest"))
+    return out
+
+
+def _census(t: Tables) -> list[Section]:
+    entries = census.entries_of(t("unregistered"), t("bytes"))
+    shown = ["cluster", "names", "responses", "bytes", "members"]
+    out = [_table(f"Proprietary headers by {axis}", census.clusters(entries, axis, "cluster"), shown, "responses", 30) for axis in ("vendor", "prefix")]
+    order = [key for key, _, _ in config.families().families] + ["__other__"]  # as listed, the rest last
+    found = {r.cluster: tuple(r) for r in census.clusters(entries, "family", "cluster").select(*shown).collect()}
+    return [*out, Section("Proprietary headers by family", shown, [found[k] for k in dict.fromkeys(order) if k in found])]
+
+
+def sections(of: DataFrame | Tables) -> list[Section]:
+    """All sections, over enriched responses, which should be a stored table since each section is a query of its own,
+    or over what ``store.opened`` gives."""
+    t = store.live(of) if isinstance(of, DataFrame) else of
+    total, sites = t("responses").select("responses", "sites").first()
     share = F.round(ranking.share(F.col("responses"), F.lit(total)), 2)
-    found = findings.note_counts(e)
-    info = e.sparkSession.createDataFrame([(r.id, r.level, r.category, r.summary) for r in rules.rules()], "note_id string, level string, category string, summary string")
-    rank = F.create_map(*[F.lit(x) for kv in rules.RANK.items() for x in kv])
-    listed = found.join(F.broadcast(info), "note_id", "left").orderBy("category", F.desc(rank[F.col("level")]), F.desc("sites"), F.desc("occ"), "note_id")
-    out = [Section("Summary", ["what", "value"], [("responses", total), ("sites", e.select("site").distinct().count()), ("findings", found.agg(F.coalesce(F.sum("occ"), F.lit(0))).first()[0]), ("kinds of findings", found.count())])]
-    out.append(_table("Health", counters.severity(e).withColumn("pct", share), ["severity", "responses", "pct"], "responses"))
-    out.append(_table("Findings by category", findings.by_category(e), ["category", "occ", "share", "types"], "occ"))
-    out.append(Section("Findings", ["category", "note_id", "level", "occ", "sites", "summary"], [tuple(r) for r in listed.select("category", "note_id", "level", "occ", "sites", "summary").collect()]))
-    out.append(_table("Values in findings", findings.note_vars(e), ["note_id", "var", "val", "occ"], "occ", 50))
-    out.append(_table("Samples", findings.note_samples(e), ["note_id", "url", "rank"], "rank", 100))
-    out.append(_table("Finding pairs", findings.note_pairs(e), ["pair", "occ", "sites"], "occ"))
-    unseen = Section("Findings that never fired", ["kind", "note_id"], [tuple(r) for r in findings.unseen(e).select("kind", "note_id").orderBy("kind", "note_id").collect()])
+    notes, fields, sizes, layers = t("notes"), t("fields"), t("bytes"), t("layers")
+    occ, kinds = notes.agg(F.coalesce(F.sum("occ"), F.lit(0)), F.count(F.lit(1))).first()
+    out = [_run(t), Section("Summary", ["what", "value"], [("responses", total), ("sites", sites), ("findings", occ), ("kinds of findings", kinds)])]
+    out.append(_table("Health", t("severity").withColumn("pct", share), ["severity", "responses", "pct"], "responses"))
+    out.append(_table("Findings by category", findings.categories_of(notes), ["category", "occ", "share", "types"], "occ"))
+    out += _findings(t, sites)
+    out += _values(t)
+    out.append(_table("Samples", t("note_samples"), ["note_id", "url", "rank"], "rank", 100))
+    out.append(_table("Samples of values", t("var_samples"), ["note_id", "var", "val", "url", "field_values", "rank"], "rank", 100))
+    pairs = t("note_pairs")
+    out.append(_table("Finding bundles", t("note_bundles"), ["bundle", "occ", "sites"], "occ"))
+    out.append(_table("Finding pairs", pairs, ["pair", "occ", "sites"], "occ"))
+    lifted = ["a", "b", "joint", "p_a_given_b", "p_b_given_a", "lift"]
+    out.append(_table("Finding lifts", cooccur.lifts_of(pairs, t("note_marginals").withColumnRenamed("note_id", "token"), F.lit(total)), lifted, "joint"))
+    unseen = Section("Findings that never fired", ["kind", "note_id"], [tuple(r) for r in findings.unseen_of(notes).select("kind", "note_id").orderBy("kind", "note_id").collect()])
     if total < SMALL:
         unseen.notes.append(f"Only {total:,} responses: a rare finding may be missing by chance.")
     out.append(unseen)
-    out.append(_table("Response headers", counters.field_counts(e).filter(~H.from_crawler(F.col("name"))), ["name", "occ"], "occ", 50))
-    out.append(_table("Header bytes", counters.header_bytes(e), ["name", "bytes"], "bytes", 50))
-    out.append(_ordered("Header block sizes", counters.block_histogram(e), "bucket", "responses", T.BYTES))
-    out.append(_table("Bytes by category", counters.category_bytes(e), ["category", "bytes"], "bytes"))
-    entries = census.entries(e)
-    for axis in ("vendor", "family", "prefix"):
-        out.append(_table(f"Proprietary headers by {axis}", census.clusters(entries, axis, "cluster"), ["cluster", "names", "responses", "bytes", "members"], "responses", 30))
-    layers = counters.layer_counts(e)
-    out.append(_table("Infrastructure", layers.withColumn("pct", share), ["layer", "responses", "pct"], "responses"))
-    out.append(_table("Headers by layer", counters.field_by_layer(e).filter(~H.from_crawler(F.col("name"))), ["name", "layer", "occ"], "occ"))
-    out.append(_table("Findings by layer", findings.layer_rates(e), ["note_id", "layer", "occ", "share", "rate"], "occ", 50))
-    out.append(_table("Networks", counters.asn_counts(e), ["asn", "responses"], "responses", 50))
-    out.append(_table("Vary recipes", recipes.vary_recipes(e), ["recipe", "occ", "sites"], "occ"))
-    out.append(_table("Vary recipes without accept-encoding", recipes.vary_factored(e), ["recipe", "occ", "sites"], "occ"))
-    out.append(_table("Vary axes", recipes.vary_axes(e), ["token", "occ", "sites"], "occ"))
-    out.append(_table("Non-standard Vary members", recipes.vary_nonstandard(e), ["token", "occ", "sites"], "occ"))
-    out.append(_table("Cache-Control recipes", recipes.cc_recipes(e), ["recipe", "occ", "sites"], "occ"))
-    out.append(_table("Cache-Control directives", recipes.cc_marginals(e), ["token", "occ", "sites"], "occ", 30))
-    out.append(_table("Non-standard cache directives", recipes.cc_nonstandard(e), ["token", "occ", "sites"], "occ"))
-    histograms = counters.value_histograms(e)
-    for name in [r[0] for r in histograms.select("histogram").distinct().orderBy("histogram").collect()]:
-        out.append(_ordered(f"Lifetimes: {name}", histograms.filter(F.col("histogram") == name), "bucket", "occ", T.LIFETIME))
-    tokens = cooccur.security(e)
-    out.append(_table("Security header bundles", cooccur.bundles(e, tokens), ["bundle", "occ", "sites"], "occ"))
-    out.append(_table("Security header pairs", cooccur.lifts(e, tokens), ["a", "b", "joint", "p_a_given_b", "p_b_given_a", "lift"], "joint"))
-    out.append(_table("Usual bundle by layer", cooccur.layer_defaults(e, tokens), ["layer", "responses", "bundle", "share"], "responses"))
-    out.append(_ordered("Content security policy by site", counters.policy_buckets(e), "bucket", "sites", T.POLICY_SIZE))
+    out.append(_table("Response headers", fields.filter(~H.from_crawler(F.col("name"))), ["name", "occ"], "occ", 50))
+    block = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    large = _table("Header bytes", counters.means_of(sizes, fields), ["name", "bytes", "occ", "mean"], "bytes", 50)
+    large.notes.append(f"{size_text(block)} in all, {size_text(block / total) if total else 0} a response.")
+    out.append(large)
+    out.append(_ordered("Header block sizes", t("blocks"), "bucket", "responses", T.BYTES))
+    out.append(_table("Bytes by category", counters.categories_of(sizes), ["category", "bytes"], "bytes"))
+    out += _census(t)
+    out.append(_table("Infrastructure", counters.layer_roles(layers).withColumn("pct", share), ["layer", "role", "responses", "pct"], "responses"))
+    out.append(_table("Headers by layer", t("field_layers").filter(~H.from_crawler(F.col("name"))), ["name", "layer", "occ"], "occ"))
+    out.append(_table("Findings by layer", findings.rates_of(t("note_layers"), notes, layers), ["note_id", "layer", "occ", "share", "rate"], "occ", 50))
+    out.append(_table("Networks", counters.networks(t("networks")), ["asn", "operator", "layer", "responses"], "responses", 50))
+    counted = ["occ", "sites"]
+    members, directives = t("vary_tokens"), t("cache_tokens")
+    out.append(_table("Vary recipes", t("vary"), ["recipe", *counted], "occ"))
+    out.append(_table("Vary recipes without accept-encoding", t("vary_factored"), ["recipe", *counted], "occ"))
+    out.append(_table("Vary axes", recipes.axes_of(members), ["token", *counted], "occ"))
+    out.append(_table("Non-standard Vary members", recipes.unregistered_of(members), ["token", *counted], "occ"))
+    out.append(_table("Cache-Control recipes", t("cache_control"), ["recipe", *counted], "occ"))
+    out.append(_table("Cache-Control directives", directives, ["token", *counted], "occ", 30))
+    out.append(_table("Non-standard cache directives", recipes.unknown_of(directives), ["token", *counted], "occ"))
+    lifetimes: dict[str, dict[str, int]] = {}  # seven histograms of a fixed scale
+    for r in t("lifetimes").collect():
+        lifetimes.setdefault(r.histogram, {})[r.bucket] = r.occ
+    for name, bars in sorted(lifetimes.items()):
+        out.append(Section(f"Lifetimes: {name}", ["bucket", "occ"], [(b, bars[b]) for b, _ in T.LIFETIME if b in bars]))
+    out.append(_table("Security header bundles", t("bundles"), ["bundle", *counted], "occ"))
+    out.append(_table("Security header pairs", cooccur.lifts_of(t("bundle_pairs"), t("bundle_tokens"), F.lit(total)), lifted, "joint"))
+    out.append(_table("Usual bundle by layer", cooccur.defaults_of(t("bundle_layers")), ["layer", "responses", "bundle", "share"], "responses"))
+    out.append(_ordered("Content security policy by site", counters.policy_buckets_of(t("policies")), "bucket", "sites", T.POLICY_SIZE))
     moved = ["legacy", "modern", "both", "modern_only", "legacy_only", "neither", "scoped", "ratio", "modern_sites", "legacy_sites"]
-    out.append(_table("Transitions", transition.rows(e), moved, "scoped"))
+    out.append(_table("Transitions", t("transition_rows"), moved, "scoped"))
     return out
 
 
@@ -147,9 +212,9 @@ def markdown_path(html_path: str) -> str:
     return re.sub(r"\.html?$", "", html_path) + ".md"
 
 
-def write(e: DataFrame, html_path: str, markdown_to: str | None = None, title: str = "HTTP responses") -> list[Section]:
+def write(of: DataFrame | Tables, html_path: str, markdown_to: str | None = None, title: str = "HTTP responses") -> list[Section]:
     """Both files; the tables behind them are as small as what is shown."""
-    parts = sections(e)
+    parts = sections(of)
     Path(html_path).write_text(page(parts, title), "utf-8")
     Path(markdown_to or markdown_path(html_path)).write_text(markdown(parts, title), "utf-8")
     return parts

@@ -12,7 +12,8 @@ from headloom.functions import headers as H
 from headloom.functions import hll
 from headloom.functions import text as T
 from headloom.operators import census, cooccur, counters, findings, ranking, recipes, timing, transition
-from headloom.plans.enrich import keep_sites
+from headloom.plans import store
+from headloom.plans.enrich import enrich, keep_sites
 from headloom.queries import base_sql
 from headloom.queries.testbed import enriched, responses
 
@@ -63,18 +64,7 @@ _of("layer_coverage", lambda e: e.agg(F.count(F.lit(1)).alias("responses"), F.ro
 _of("field_by_layer", counters.field_by_layer, "SELECT name, layer, count(*) AS occ FROM hdr JOIN lay USING (resp_id) GROUP BY 1, 2")
 _of("asn_lpm", lambda e: e.select("resp_id", F.coalesce("asn", F.lit(0)).alias("asn")), "SELECT resp_id, coalesce(asn, 0) AS asn FROM resp")
 _of("asn_counts", counters.asn_counts, "SELECT asn, count(*) AS responses FROM resp WHERE asn IS NOT NULL GROUP BY asn")
-
-
-def _asn_top(e: DataFrame) -> DataFrame:
-    names = [x for k, v in _F.asn_operators.items() for x in (F.lit(k), F.lit(v))]
-    layer = F.when(F.lit(False), "")
-    for x in config.layers():
-        if x.asns:
-            layer = layer.when(F.col("asn").isin(list(x.asns)), x.id)
-    return ranking.top(counters.asn_counts(e), 50, "responses", "asn").withColumns({"operator": F.try_element_at(F.create_map(*names), F.col("asn").cast("int")), "layer": layer})
-
-
-_of("asn_top", _asn_top, "SELECT asn, count(*) AS responses, CASE asn WHEN 13335 THEN 'Cloudflare' WHEN 20940 THEN 'Akamai' WHEN 54113 THEN 'Fastly' END AS operator, CASE asn WHEN 13335 THEN 'cloudflare' WHEN 20940 THEN 'akamai' WHEN 54113 THEN 'fastly' END AS layer FROM resp WHERE asn IS NOT NULL GROUP BY asn ORDER BY responses DESC, asn LIMIT 50")
+_of("asn_top", lambda e: counters.networks(ranking.top(counters.asn_counts(e), 50, "responses", "asn")), "SELECT asn, count(*) AS responses, CASE asn WHEN 13335 THEN 'Cloudflare' WHEN 20940 THEN 'Akamai' WHEN 54113 THEN 'Fastly' END AS operator, CASE asn WHEN 13335 THEN 'cloudflare' WHEN 20940 THEN 'akamai' WHEN 54113 THEN 'fastly' END AS layer FROM resp WHERE asn IS NOT NULL GROUP BY asn ORDER BY responses DESC, asn LIMIT 50")
 _of("value_hist", counters.value_histograms, "SELECT histogram, bucket, count(*) AS occ FROM resp JOIN hk USING (k) GROUP BY 1, 2")
 
 # Recipes ----------------------------------------------------------------------------------------------
@@ -113,7 +103,7 @@ _of("note_vars", findings.note_vars, "SELECT note_id, var, val, count(*) AS occ
 _of("note_categories", findings.by_category, "SELECT category, CAST(sum(occ) AS BIGINT) AS occ, count(*) AS types, round(sum(occ) * 100.0 / sum(sum(occ)) OVER (), 6) AS share FROM (SELECT note_id, count(*) AS occ, CASE WHEN note_id LIKE 'VARY%' THEN 'CONNEG' WHEN note_id LIKE '%CC%' OR note_id LIKE 'FRESH%' THEN 'CACHING' WHEN note_id LIKE 'HSTS%' OR note_id LIKE 'CSP%' OR note_id LIKE 'CONTENT_SEC%' OR note_id LIKE 'CROSS%' THEN 'SECURITY' WHEN note_id LIKE 'SET_COOKIE%' THEN 'COOKIES' ELSE 'GENERAL' END AS category FROM notes GROUP BY note_id) GROUP BY category")
 _of("note_samples", findings.note_samples, "SELECT note_id, site, url, rank FROM (SELECT note_id, site, min(url) AS url, CAST(row_number() OVER (PARTITION BY note_id ORDER BY min(url)) AS INTEGER) AS rank FROM notes GROUP BY 1, 2) WHERE rank <= 5")
 _of("sample_gate", lambda e: findings.note_samples(e, e.filter("site LIKE 'm.%'")), "SELECT note_id, site, url, rank FROM (SELECT note_id, site, min(url) AS url, CAST(row_number() OVER (PARTITION BY note_id ORDER BY min(url)) AS INTEGER) AS rank FROM notes WHERE site LIKE 'm.%' GROUP BY 1, 2) WHERE rank <= 5")
-_of("var_samples", lambda e: findings.var_samples(e).select("note_id", "var", "val", "site", "url", "rank"), "SELECT note_id, var, val, site, url, rank FROM (SELECT note_id, var, val, site, min(url) AS url, CAST(row_number() OVER (PARTITION BY note_id, var, val ORDER BY min(url)) AS INTEGER) AS rank FROM vars WHERE var = 'field_name' GROUP BY 1, 2, 3, 4) WHERE rank <= 15")
+_of("var_samples", lambda e: findings.var_samples(e).select("note_id", "var", "val", "site", "url", "rank"), "SELECT note_id, var, val, site, url, rank FROM (SELECT note_id, var, val, site, min(url) AS url, CAST(row_number() OVER (PARTITION BY note_id, var, val ORDER BY min(url)) AS INTEGER) AS rank FROM vars WHERE var IN ('field_name', 'vary_count') GROUP BY 1, 2, 3, 4) WHERE rank <= 15")
 _of("note_bundles", findings.note_bundles, f"SELECT bundle, count(*) AS occ, {_SITES} FROM (SELECT r.resp_id, r.site, coalesce(string_agg(note_id, ', ' ORDER BY note_id), '(none)') AS bundle FROM resp r LEFT JOIN fired f ON f.resp_id = r.resp_id GROUP BY 1, 2) GROUP BY bundle")
 _of("note_marginals", findings.note_marginals, f"SELECT note_id, count(*) AS occ, {_SITES} FROM fired GROUP BY note_id")
 _of("note_pairs_lineage", findings.note_pairs, f"SELECT a.note_id || ', ' || b.note_id AS pair, count(*) AS occ, count(DISTINCT a.site) AS sites FROM fired a JOIN fired b ON a.resp_id = b.resp_id AND a.note_id < b.note_id WHERE NOT EXISTS (FROM fnd WHERE (fnd.note_id = a.note_id AND fnd.parent = b.note_id) OR (fnd.note_id = b.note_id AND fnd.parent = a.note_id)) GROUP BY 1")
@@ -127,6 +117,50 @@ SELECT j.a, j.b, joint, round(joint / nb.n, 6) AS p_a_given_b, round(joint / na.
 _of("findings_by_field", findings.by_field, "SELECT lower(val) AS field, count(*) AS occ, count(DISTINCT note_id) AS types FROM vars WHERE var = 'field_name' GROUP BY 1")
 _of("byte_means", counters.mean_bytes, "SELECT name, CAST(sum(n) AS BIGINT) AS bytes, occ, round(sum(n) / occ, 6) AS mean FROM bytes JOIN (SELECT name, count(*) AS occ FROM hdr GROUP BY name) USING (name) GROUP BY name, occ")
 
+_CATEGORY = "CASE WHEN note_id LIKE 'VARY%' THEN 'CONNEG' WHEN note_id LIKE '%CC%' OR note_id LIKE 'FRESH%' THEN 'CACHING' WHEN note_id LIKE 'HSTS%' OR note_id LIKE 'CSP%' OR note_id LIKE 'CONTENT_SEC%' OR note_id LIKE 'CROSS%' THEN 'SECURITY' WHEN note_id LIKE 'SET_COOKIE%' THEN 'COOKIES' ELSE 'GENERAL' END"
+
+
+def _notes_by_category(e: DataFrame) -> DataFrame:
+    """Findings with their category and level, and the share of sites that have them."""
+    sites = e.agg(F.countDistinct("site")).scalar()
+    rows = findings.described(findings.note_counts(e))
+    return rows.select("category", "note_id", "level", "occ", "sites", F.round(ranking.share(F.col("sites"), sites), 6).alias("site_pct"))
+
+
+_of("notes_by_category", _notes_by_category, f"SELECT {_CATEGORY} AS category, note_id, any_value(level) AS level, count(*) AS occ, {_SITES}, round(count(DISTINCT site) * 100.0 / (SELECT count(DISTINCT site) FROM resp), 6) AS site_pct FROM notes GROUP BY note_id")
+_of("field_errors", lambda e: findings.field_errors(findings.note_vars(e)), "SELECT split_part(val, ': ', 1) AS field, substr(val, strpos(val, ': ') + 2) AS problem, count(*) AS occ FROM vars WHERE var = 'field_error' GROUP BY 1, 2")
+_ROLES = ", ".join(f"('{x.id}', '{x.role}')" for x in config.layers())
+_of("layer_roles", lambda e: counters.layer_roles(counters.layer_counts(e)), f"SELECT l AS layer, coalesce(role, '') AS role, responses FROM (SELECT coalesce(layer, '__unmatched__') AS l, count(*) AS responses FROM resp LEFT JOIN lay USING (resp_id) GROUP BY 1) LEFT JOIN (VALUES {_ROLES}) r(layer, role) ON r.layer = l")
+_of("recipe_trim", lambda e: ranking.top(recipes.cc_recipes(e), 3, "occ", "recipe"), _recipe_sql("cc") + " ORDER BY occ DESC, recipe LIMIT 3")
+_of("bundle_layers_trim", lambda e: ranking.surviving(cooccur.by_layer(e, _SEC(e)), ranking.top(cooccur.bundles(e, _SEC(e)), 3, "occ", "bundle"), ["bundle"]), "SELECT bundle, layer, count(*) AS occ FROM bun JOIN lay USING (resp_id) WHERE bundle IN (SELECT bundle FROM (SELECT bundle, count(*) AS c FROM bun GROUP BY bundle ORDER BY c DESC, bundle LIMIT 3)) GROUP BY 1, 2")
+
+
+def _sampled_values(e: DataFrame) -> DataFrame:
+    """Samples of the five commonest values of header names alone."""
+    best = ranking.top(findings.note_vars(e).filter("var = 'field_name'"), 5, "occ", "note_id", "val")
+    return ranking.surviving(findings.var_samples(e), best, ["note_id", "var", "val"]).select("note_id", "var", "val", "site", "url", "rank")
+
+
+_of("var_samples_trim", _sampled_values, "SELECT note_id, var, val, site, url, rank FROM (SELECT note_id, var, val, site, min(url) AS url, CAST(row_number() OVER (PARTITION BY note_id, var, val ORDER BY min(url)) AS INTEGER) AS rank FROM vars SEMI JOIN (SELECT note_id, val, count(*) AS c FROM vars WHERE var = 'field_name' GROUP BY ALL ORDER BY c DESC, note_id, val LIMIT 5) b USING (note_id, val) WHERE var = 'field_name' GROUP BY 1, 2, 3, 4) WHERE rank <= 15")
+
+# Stores: what two halves of the responses keep, merged --------------------------------------------------
+
+
+def _halves(name: str) -> Callable[[DataFrame], DataFrame]:
+    def made(e: DataFrame) -> DataFrame:
+        even, odd = e.filter("resp_id % 2 = 0"), e.filter("resp_id % 2 <> 0")
+        return store.fold(store.aggregate(even, name).unionByName(store.aggregate(odd, name)), name)
+
+    return made
+
+
+_of("store_merge_notes", _halves("notes"), "SELECT note_id, count(*) AS occ FROM notes GROUP BY note_id")
+_of("store_merge_values", _halves("note_vars"), "SELECT note_id, var, val, count(*) AS occ FROM vars GROUP BY ALL")
+_of("store_merge_bundles", _halves("bundles"), "SELECT bundle, count(*) AS occ FROM bun GROUP BY bundle")
+_of("store_merge_transitions", _halves("transitions"), "SELECT pair, category, count(*) AS occ FROM moves GROUP BY 1, 2")
+_of("store_merge_policies", _halves("policies"), _CSP)
+_of("store_merge_samples", _halves("note_samples"), "SELECT note_id, site, url, rank FROM (SELECT note_id, site, min(url) AS url, CAST(row_number() OVER (PARTITION BY note_id ORDER BY min(url)) AS INTEGER) AS rank FROM notes GROUP BY 1, 2) WHERE rank <= 5")
+
 # Transition and census --------------------------------------------------------------------------------
 _of("transition_occ", transition.counts, "SELECT pair, category, count(*) AS occ FROM moves GROUP BY 1, 2")
 _TR = '''SELECT p.*, count(*) FILTER (category = 'both') AS "both", count(*) FILTER (category = 'modern_only') AS modern_only, count(*) FILTER (category = 'legacy_only') AS legacy_only, count(*) FILTER (category = 'neither') AS neither, count(DISTINCT site) FILTER (category IN ('both', 'modern_only')) AS modern_sites, count(DISTINCT site) FILTER (category IN ('both', 'legacy_only')) AS legacy_sites FROM pk p LEFT JOIN moves m USING (pair) GROUP BY ALL'''
@@ -267,6 +301,15 @@ def _source_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy(F.col("source").alias("layer")).agg(F.sum("n_chars").alias("chars"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
 
 
+@_on("largest_lines", "SELECT 'FIELD_TOO_LARGE' AS note_id, name AS field_name, max(n) AS largest FROM (SELECT 'x-part-' || doc_id % 3 AS name, strlen(text) + 12 AS n FROM documents) WHERE n > 8192 GROUP BY name")
+def _largest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as header values under three names."""
+    name = F.concat(F.lit("x-part-"), (F.col("doc_id") % 3).cast("string"))
+    header = F.struct(name.alias("name"), F.coalesce("text", F.lit("")).alias("value"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("resp_id"), F.lit("").alias("url"), F.lit("").alias("site"), F.array(header).alias("headers"))
+    return findings.numeric_max(enrich(rows))
+
+
 @_on("path_rewrite", "SELECT page_id, replace(p, '/warc/', '/wat/') AS path FROM (SELECT page_id, 'crawl-data/' || page_id % 7 || '/warc/' || page_id || '.warc.wat.gz' AS p FROM pages)")
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     from headloom.sources.paths import wat_path

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from headloom.functions import headers as H
+from headloom.functions import hll
 from headloom.operators import census, cooccur, counters, findings, ranking, recipes, timing, transition
 from headloom.plans import report, rules, store
 from headloom.plans.enrich import enrich, keep_sites
@@ -167,14 +168,40 @@ def test_percentiles(spark):
 
 def test_stores_merge(spark, tmp_path):
     lists = [[("server", "nginx"), ("vary", "a"), ("content-security-policy", "x")], [("pragma", "no-cache")], [], [("cache-control", "max-age=5, public")]]
-    whole = made(spark, *lists)
+    made(spark, *lists).coalesce(1).write.parquet(str(tmp_path / "enriched"))
+    whole = spark.read.parquet(str(tmp_path / "enriched"))
     store.save(whole.filter("resp_id < 2"), str(tmp_path / "1"), crawl="a")
-    store.save(whole.filter("resp_id >= 2"), str(tmp_path / "2"), crawl="b")
+    store.save(whole.filter("resp_id >= 2"), str(tmp_path / "2"), crawl="b", record_limit=9)
     both = [str(tmp_path / "1"), str(tmp_path / "2")]
-    for name, (query, keys, sums) in store.SUMS.items():
-        want = sorted(map(tuple, query(whole).select(*keys, *sums).collect()))
-        assert sorted(map(tuple, store.merged(spark, both, name).select(*keys, *sums).collect())) == want, name
-    assert store.merged(spark, both, "policies").count() == 4
+    for name in ("responses", "notes", "vary", "transitions"):
+        kept = store.SUMS[name]
+        columns = [*kept.keys, *kept.sums]
+        assert sorted(map(tuple, store.merged(spark, both, name).select(*columns).collect())) == sorted(map(tuple, store.aggregate(whole, name).select(*columns).collect())), name
+        if kept.rows is not None:
+            columns = [*kept.keys, "idx", "rho"]
+            assert sorted(map(tuple, store.merged_registers(spark, both, name).select(*columns).collect())) == sorted(map(tuple, store.registers(whole, name).select(*columns).collect())), name
+    for name in (*store.LARGEST, *store.SAMPLES):
+        want = store.aggregate(whole, name)
+        assert sorted(map(tuple, store.merged(spark, both, name).select(*want.columns).collect())) == sorted(map(tuple, want.collect())), name
+    assert dict(store.merged_context(spark, both).collect()) == {"crawl": "a", "record_limit": "9"}
+    get, direct = store.opened(spark, both), store.live(whole)
+    # few sites: estimates of so few are exact
+    for name in ("responses", "notes", "vary", "transition_rows"):
+        want = direct(name)
+        assert sorted(map(str, get(name).select(*want.columns).collect())) == sorted(map(str, want.collect())), name
+
+
+def test_narrower_registers(spark):
+    rows = spark.createDataFrame([("k", i, 1 + i % 3) for i in range(256)], "key string, idx int, rho int")
+    assert hll.union(rows, ["key"], 64).count() == 64
+
+
+def test_records(spark, tmp_path):
+    (tmp_path / "part-0").write_text('["a", "b"]\t{"n": 1}\nbroken\n["c"]\t{\n\n"k"\t2\n')
+    (tmp_path / "other").write_text("x\n")
+    good, bad = store.read_records(spark, str(tmp_path))
+    assert sorted(map(tuple, good.collect())) == [('"k"', "2"), ('["a", "b"]', '{"n": 1}')]
+    assert sorted(r.line for r in bad.collect()) == ['["c"]\t{', "broken"]
 
 
 def test_report(spark, tmp_path):
