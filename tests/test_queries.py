@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from headloom.queries import analysis
+from headloom.queries import analysis, generated
 from tests.conftest import SF
 
 
@@ -18,10 +18,13 @@ def plain(x):
     return round(float(x), 5) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
 
-@pytest.mark.parametrize("name", sorted(analysis.oracle_sql()))
+QUERIES, SQL = analysis.queries() | generated.queries(), analysis.oracle_sql() | generated.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, duck, name):
-    got = analysis.queries()[name](spark, SF)
-    want = duck.sql(analysis.oracle_sql()[name])
+    got = QUERIES[name](spark, SF)
+    want = duck.sql(SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     names = sorted(got.columns)
     key = lambda rows: sorted([tuple(plain(v) for v in r) for r in rows], key=str)
