@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from headloom.llm import ann, exact_dedup, licenses, mixing, near_dedup, packing, quality, sharding, suffix_dedup, token_store
+from headloom.llm import ann, best_fit, exact_dedup, importance, licenses, mixing, near_dedup, packing, quality, sharding, suffix_dedup, token_store
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_nearest": ann.op9_nearest,
         "op10_licenses": licenses.op10_licenses,
+        "op12_importance": importance.op12_importance,
+        "op13_best_fit": best_fit.op13_best_fit,
     }
 
 
