@@ -27,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": exact_dedup.ORACLE_SQL,
         "op8_near_dedup": near_dedup.ORACLE_SQL,
         "op10_licenses": licenses.ORACLE_SQL,
+        "op12_importance": importance.ORACLE_SQL,
     }
