@@ -35,7 +35,7 @@ PERCENT = 5
 SEED = 42
 BLOCK_BYTES = 4 << 20
 
-_SEPARATOR = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
+_SEPARATOR = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 _TO_WORDS = bytes(x + 32 if 0x41 <= x <= 0x5A else 32 if x <= 0x2F or 0x3A <= x <= 0x60 or 0x7B <= x <= 0x7F else x for x in range(256))
 _COUNTS = "array<struct<bucket: int, n: int>>"
 

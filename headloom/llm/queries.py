@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from headloom.llm import ann, best_fit, exact_dedup, importance, licenses, mixing, near_dedup, packing, quality, sharding, suffix_dedup, token_store
+from headloom.llm import ann, best_fit, exact_dedup, importance, licenses, mixing, near_dedup, packing, prefix_trie, quality, sharding, suffix_dedup, token_store
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_nearest": ann.op9_nearest,
         "op10_licenses": licenses.op10_licenses,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_importance": importance.op12_importance,
         "op13_best_fit": best_fit.op13_best_fit,
     }
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": exact_dedup.ORACLE_SQL,
         "op8_near_dedup": near_dedup.ORACLE_SQL,
         "op10_licenses": licenses.ORACLE_SQL,
+        "op11_prefix_trie": prefix_trie.ORACLE_SQL,
         "op12_importance": importance.ORACLE_SQL,
     }
