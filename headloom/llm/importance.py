@@ -33,7 +33,9 @@ BUCKETS = 10_000
 MIN_WORDS = 20
 PERCENT = 5
 SEED = 42
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+_BATCH_BYTES = 2 << 20  # of text that a task takes at once; its counts are some four times as long
+_SLICE = 1 << 15  # strings held as Python objects at once
 
 _SEPARATOR = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 _TO_WORDS = bytes(x + 32 if 0x41 <= x <= 0x5A else 32 if x <= 0x2F or 0x3A <= x <= 0x60 or 0x7B <= x <= 0x7F else x for x in range(256))
@@ -88,7 +90,8 @@ def block_buckets(block: list[tuple[int, list[bytes], int]]) -> tuple[np.ndarray
 
 
 def _hashed(strings: pa.Array) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, strings.to_pylist()), np.int64, len(strings)) % BUCKETS
+    slices = (strings.slice(at, _SLICE).to_numpy(zero_copy_only=False).tolist() for at in range(0, len(strings), _SLICE))
+    return np.fromiter((zlib.crc32(x) for held in slices for x in held), np.int64, len(strings)) % BUCKETS
 
 
 def feature_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -162,6 +165,7 @@ def gains(own: DataFrame, target: DataFrame) -> DataFrame:
 
 def scores(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """part, nth, doc_id, n_words, n_features, weight, score of every row of ``df``."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
     counts = staged(feature_counts(df, id_col, text_col), "feature-counts")
     own, wanted = bucket_sums(counts), bucket_sums(feature_counts(target.withColumn("_none", F.lit(None).cast("long")).select("_none", text_col), "_none", text_col))
     gain = F.broadcast(gains(own, wanted))  # a row a bucket
