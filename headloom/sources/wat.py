@@ -14,7 +14,7 @@ RESPONSE = (
 _RECORD = (
     "Envelope struct<`WARC-Header-Metadata`: struct<`WARC-Target-URI`: string, `WARC-IP-Address`: string, `WARC-Date`: string>, "
     "`Payload-Metadata`: struct<`HTTP-Response-Metadata`: struct<`Response-Message`: struct<Status: string, Reason: string, Version: string>, "
-    "Headers: map<string, string>>>>"
+    "Headers: map<string, variant>>>>"
 )
 
 
@@ -32,16 +32,23 @@ def read_lines(spark: SparkSession, paths: str | list[str], record_limit: int =
 
 
 def header_list(raw: Column) -> Column:
-    """``map<name, json>`` to a header list: a JSON array of values gives one header a value."""
-    many = F.from_json(raw["value"], "array<string>")
-    one = F.array(raw["value"])
-    chosen = F.when(raw["value"].startswith("[") & many.isNotNull(), many).otherwise(one)
-    return F.transform(chosen, lambda v: F.struct(F.lower(latin1(raw["key"])).alias("name"), latin1(v).alias("value")))
+    """``map<name, variant>`` to a header list. A JSON array gives one header a member; anything else gives one, a string
+    its own text and another value its JSON text. Of a name that a record repeats, the last value counts."""
+    entries = F.map_entries(raw)
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+
+    def lines(e: Column) -> Column:
+        many = F.try_variant_get(e["value"], "$", "array<string>")
+        texts = F.coalesce(many, F.array(F.try_variant_get(e["value"], "$", "string")))
+        return F.transform(texts, lambda v: F.struct(F.lower(latin1(e["key"])).alias("name"), latin1(F.coalesce(v, F.lit("null"))).alias("value")))
+
+    return F.flatten(F.transform(last, lines))
 
 
 def parse_responses(lines: DataFrame) -> DataFrame:
-    """Responses, and only lines that are JSON and hold response metadata. ``from_json`` keeps the last of a repeated
-    key, as the format's usual readers do; malformed lines give null and go."""
+    """Responses, and only lines that are JSON and hold response metadata; malformed lines give null and go (text
+    after a whole record is not looked at). Header
+    values stay typed, so that a string which looks like an array is one value."""
     record = F.from_json("line", _RECORD)
     rows = lines.withColumn("r", record)
     meta, head = F.col("r.Envelope.`Payload-Metadata`.`HTTP-Response-Metadata`"), F.col("r.Envelope.`WARC-Header-Metadata`")
@@ -53,7 +60,7 @@ def parse_responses(lines: DataFrame) -> DataFrame:
         meta["Response-Message"]["Status"].alias("status"),
         F.coalesce(meta["Response-Message"]["Reason"], F.lit("")).alias("reason"),
         F.coalesce(meta["Response-Message"]["Version"], F.lit("HTTP/1.1")).alias("version"),
-        F.coalesce(F.flatten(F.transform(F.map_entries(meta["Headers"]), header_list)), F.array().cast("array<struct<name: string, value: string>>")).alias("headers"),
+        F.coalesce(header_list(meta["Headers"]), F.array().cast("array<struct<name: string, value: string>>")).alias("headers"),
     )
     return rows.select(F.monotonically_increasing_id().alias("resp_id"), "url", site("url").alias("site"), "ip", "crawl_ts", "status", latin1(F.col("reason")).alias("reason"), latin1(F.col("version")).alias("version"), "headers")
 

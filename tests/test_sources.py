@@ -28,6 +28,18 @@ def test_wat(spark, tmp_path):
     assert {r.outcome: r["count"] for r in wat.parse_outcomes(wat.read_lines(spark, str(path))).collect()}["response"] == 3
 
 
+def test_wat_headers_keep_their_types(spark):
+    """A string that looks like an array is one header, an array is one a member, and nothing vanishes."""
+    raw = {"A": '["x","y"]', "B": ["x", "y"], "C": "[]", "D": [], "E": 5, "F": None, "G": [1, None, ["z"]], "H": "null", "I": True, "J": {"k": 1}, "K": "[1"}
+    lines = [envelope("http://a.example/", raw), envelope("http://b.example/", "none").replace('"none"', '{"a": "1", "b": "2", "a": "3"}'), envelope("http://c.example/", ["no map"])]
+    df = spark.createDataFrame([("p", x) for x in lines], "path string, line string")
+    got = {r.site: [tuple(h) for h in r.headers] for r in wat.parse_responses(df).collect()}
+    assert got["a.example"] == [
+        ("a", '["x","y"]'), ("b", "x"), ("b", "y"), ("c", "[]"), ("e", "5"), ("f", "null"), ("g", "1"), ("g", "null"), ("g", '["z"]'), ("h", "null"), ("i", "true"), ("j", '{"k":1}'), ("k", "[1"),
+    ]
+    assert sorted(got["b.example"]) == [("a", "3"), ("b", "2")] and got["c.example"] == []
+
+
 def test_paths(spark, tmp_path):
     (tmp_path / "p").write_text("a/warc/x.warc.gz\n\n# no\n b/wat/y.warc.wat.gz \n")
     found = paths.read_paths(spark, str(tmp_path / "p"))
