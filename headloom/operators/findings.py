@@ -157,7 +157,7 @@ def by_category(e: DataFrame) -> DataFrame:
 
 def described(counts: DataFrame) -> DataFrame:
     """Counts of findings with what the rule says: level, category, summary."""
-    info = counts.sparkSession.createDataFrame([(r.id, r.level, r.category, r.summary) for r in rules.rules()], "note_id string, level string, category string, summary string")
+    info = counts.sparkSession.createDataFrame([(r.id, r.level, r.category, r.summary) for r in rules.rules() + rules.BODY], "note_id string, level string, category string, summary string")
     return counts.join(F.broadcast(info), "note_id", "left").withColumn("category", F.coalesce("category", F.lit("UNCATEGORIZED")))
 
 

@@ -73,7 +73,7 @@ def _run(t: Tables) -> Section:
 
 def _findings(t: Tables, sites: int) -> list[Section]:
     """Findings of each category, the worst first, and what never fired there. There are no more rows than rules."""
-    every = rules.rules()
+    every = rules.rules() + rules.BODY
     found = [r for r in findings.described(t("notes")).collect()]
     names = {r.category for r in every} | {r.category for r in found}
     order = [c for c in CATEGORY_ORDER if c in names] + sorted(names - set(CATEGORY_ORDER))

@@ -47,7 +47,7 @@ class Rule:
     level: str
     category: str
     summary: str
-    fires: Callable[[Column], Column]
+    fires: Callable[[Column], Column] | None  # none: what a scan of bodies finds
     parent: str | None = None
 
 
@@ -131,9 +131,16 @@ def _duplicate_keys(h: Column) -> Column:
     return F.flatten(F.transform(some, lambda x: F.transform(twice(x), lambda k: _vars(field_name=x["name"], key=k))))
 
 
+#: Raised where a body is read (``sources.bodies``), not from header lists.
+BODY = [
+    Rule("BAD_GZIP", "bad", "GENERAL", "A gzip body can't be unpacked.", None),
+    Rule("BAD_BROTLI", "bad", "GENERAL", "A Brotli body can't be unpacked.", None),
+    Rule("BAD_ZLIB", "bad", "GENERAL", "A deflate body can't be unpacked.", None),
+    Rule("CL_INCORRECT", "bad", "GENERAL", "The declared length isn't that of the body.", None),
+]
 #: Notes that only a request, or only a body, can raise.
 REQUEST_ONLY = ["MISSING_USER_AGENT", "REQUEST_CONTENT_NOT_DEFINED", "URI_BAD_SYNTAX", "URI_TOO_LONG", "RESPONSE_HDR_IN_REQUEST", "CORS_PREFLIGHT_REQUEST", "CORS_PREFLIGHT_REQ_METHOD_WRONG", "CORS_PREFLIGHT_REQ_NO_ORIGIN", "CORS_PREFLIGHT_REQ_NO_METHOD"]
-BODY_ONLY = ["BAD_GZIP", "BAD_BROTLI", "BAD_ZLIB", "CL_INCORRECT"]
+BODY_ONLY = [r.id for r in BODY]
 #: The variables whose values are counted, by note.
 TRACKED = {
     "FIELD_DEPRECATED": ["field_name"],

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import gzip
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headloom.sources import wat
+from headloom.operators import findings
+from headloom.plans import rules
+from headloom.plans.enrich import enrich
+from headloom.sources import warc, wat
+from headloom.sources.scratch import shared_path
 
 #: JSON members of a record's headers, as text made from n that Spark and SQL both evaluate.
 _MEMBERS = [
@@ -47,8 +54,93 @@ texts AS (
 SELECT url, name, CASE WHEN json_type(x) = 'VARCHAR' THEN x ->> '$' ELSE CAST(x AS VARCHAR) END AS value, count(*) AS occ FROM texts GROUP BY ALL
 """
 
+KINDS = 12
+
+
+def _coded(html: bytes, kind: int) -> tuple[list[tuple[str, str]], bytes]:
+    """Headers and body of a page sent in one of ``KINDS`` ways; six of them are unsound."""
+    packed, flat, small = gzip.compress(html, mtime=0), zlib.compress(html), pa.compress(html, "brotli", asbytes=True)
+    if kind == 4:
+        half = len(packed) // 2
+        body = b"".join(b"%x;x=y\r\n%b\r\n" % (len(x), x) for x in (packed[:half], packed[half:]) if x) + b"0\r\nTrailer: t\r\n\r\n"
+        return [("Content-Encoding", "gzip"), ("Transfer-Encoding", "chunked")], body
+    cut = gzip.compress(html[:9], mtime=0) + gzip.compress(html[9:], mtime=0)
+    both = pa.compress(packed, "brotli", asbytes=True)
+    ways = [("", html, 0), ("gzip", packed, 0), ("deflate", flat, 0), ("br", small, 0), None, ("gzip, br", both, 0), ("gzip", packed[:-9], 0), ("", html, 3)]
+    ways += [("deflate", packed, 0), ("br", b"\xff" * 40, 0), ("x-gzip", html, -1), ("gzip", cut, 0)]
+    coding, body, off = ways[kind]
+    return ([("Content-Encoding", coding)] if coding else []) + [("Content-Length", str(len(body) + off))], body
+
+
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request, a response and a metadata record of every page."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for n, url, html, line in zip(*(batch.column(c).to_pylist() for c in ("n", "url", "html", "line")), strict=True):
+                headers, body = _coded((html or "").encode(), n % KINDS)
+                top = "HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [("Server", "nginx"), *headers]) + "\r\n"
+                for kind, content, block in (
+                    ("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\n\r\n"),
+                    ("response", "application/http; msgtype=response", top.encode() + body),
+                    ("metadata", "application/json", line.encode()),
+                ):
+                    rows.append({"rec_type": kind, "url": url, "ip": "10.0.0.1", "date": "2026-06-29T10:18:14Z", "content_type": content, "block": block})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    schema = pa.schema([(c, pa.binary() if c == "block" else pa.string()) for c in ("rec_type", "url", "ip", "date", "content_type", "block")])
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("n"), "url", "html")
+    return pages.repartition("n").withColumn("line", F.expr(_LINE)).mapInArrow(made, warc.WRITTEN)
+
+
+def page_archive(spark: SparkSession, sf_dir: str) -> str:
+    folder = shared_path(spark, "archive")
+    warc.write_warc(page_records(spark, sf_dir), folder)
+    return folder
+
+
+def _warc_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sound responses held, by decoding."""
+    found = warc.read_warc(spark, page_archive(spark, sf_dir), ("response",))
+    return found.filter("body_error is null").select("url", "status", "decoded_bytes", "decoded_sha256")
+
+
+def _warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.outcomes(warc.read_warc(spark, page_archive(spark, sf_dir)))
+
+
+def _warc_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of bodies, counted with all others."""
+    found = warc.responses(warc.read_warc(spark, page_archive(spark, sf_dir), ("response",)))
+    return findings.note_counts(enrich(found)).filter(F.col("note_id").isin(rules.BODY_ONLY)).select("note_id", "occ")
+
+
+def _warc_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of both kinds of records, by what names them."""
+    found = warc.responses(warc.read_warc(spark, page_archive(spark, sf_dir)))
+    return found.groupBy("url", F.exists("headers", lambda h: h["name"] == "content-length").alias("has_length")).agg(F.count(F.lit(1)).alias("occ"))
+
+
+_SOUND = f"page_id % {KINDS} NOT IN (6, 8, 9, 10)"
+_ERROR = f"CASE page_id % {KINDS} WHEN 6 THEN 'gzip: truncated' WHEN 8 THEN 'deflate: incorrect header check' WHEN 9 THEN 'br: bad data' WHEN 10 THEN 'gzip: incorrect header check' END"
+_LENGTH = f"page_id % {KINDS} <> 4"
+
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "wat_headers": (_wat_headers, _WAT_SQL),
+    "warc_bodies": (_warc_bodies, f"SELECT url, '200' AS status, octet_length(encode(html)) AS decoded_bytes, sha256(html) AS decoded_sha256 FROM pages WHERE {_SOUND}"),
+    "warc_records": (
+        _warc_records,
+        f"SELECT 'response' AS rec_type, {_ERROR} AS error, count(*) AS records FROM pages GROUP BY ALL UNION ALL SELECT t, NULL, count(*) FROM pages, (VALUES ('request'), ('metadata')) AS v(t) GROUP BY t",
+    ),
+    "warc_notes": (
+        _warc_notes,
+        f"SELECT note_id, count(*) AS occ FROM pages JOIN (VALUES (6, 'BAD_GZIP'), (10, 'BAD_GZIP'), (7, 'CL_INCORRECT'), (10, 'CL_INCORRECT'), (8, 'BAD_ZLIB'), (9, 'BAD_BROTLI')) AS v(k, note_id) ON page_id % {KINDS} = k GROUP BY note_id",
+    ),
+    "warc_responses": (
+        _warc_responses,
+        f"SELECT url, has_length, count(*) AS occ FROM (SELECT url, {_LENGTH} AS has_length FROM pages UNION ALL SELECT url, false FROM (SELECT url, {_LINE} AS line FROM (SELECT page_id AS n, url FROM pages)) WHERE json_valid(line) AND line LIKE '%HTTP-Response-Metadata%') GROUP BY ALL",
+    ),
 }
 
 
