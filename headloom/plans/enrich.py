@@ -23,7 +23,7 @@ def enrich(responses: DataFrame, prefixes: DataFrame | None = None) -> DataFrame
     elif "asn" not in responses.columns:
         responses = responses.withColumn("asn", F.lit(None).cast("long"))
     h = F.col("headers")
-    notes = rules.notes(h)
+    notes = rules.notes_of("headers")
     if "body_notes" in responses.columns:  # from archives that hold bodies
         notes = F.concat(notes, F.coalesce("body_notes", F.array().cast(responses.schema["body_notes"].dataType)))
     return responses.withColumns({"layers": H.matched_layers(h, F.col("asn")), "notes": notes})

@@ -2,19 +2,21 @@
 
 A rule reads the header list of a response and gives the findings of one note id: an array of maps of variables,
 one for each time it fires. A child fires only where its parent does. Thresholds are our own, from RFC 9110, 9111,
-6265, 6797, 8941 and CSP level 3, and stand beside the rule they belong to.
+6265, 6797, 9651 and CSP level 3, and stand beside the rule they belong to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from headloom import config
 from headloom.functions import headers as H
+from headloom.functions import structured as SF
 from headloom.functions.text import http_date
 
 RANK = {"bad": 4, "warn": 3, "info": 2, "good": 1}
@@ -70,7 +72,7 @@ def _cookies(h: Column) -> Column:
         lambda v: F.struct(
             F.trim(F.split_part(F.split_part(v, F.lit(";"), F.lit(1)), F.lit("="), F.lit(1))).alias("name"),
             F.regexp_replace(F.split_part(v, F.lit(";"), F.lit(1)), "^[^=]*=?", "").alias("value"),
-            F.filter(F.transform(F.slice(F.split(v, ";"), 2, 1000), lambda a: F.lower(F.trim(F.split_part(a, F.lit("="), F.lit(1))))), lambda a: a != "").alias("attributes"),
+            F.filter(F.transform(F.slice(F.split(v, ";"), F.lit(2), F.size(F.split(v, ";"))), lambda a: F.lower(F.trim(F.split_part(a, F.lit("="), F.lit(1))))), lambda a: a != "").alias("attributes"),
             F.regexp_extract(v, r"(?i);\s*max-age\s*=\s*(-?\d+)", 1).try_cast("long").alias("max_age"),
             http_date(F.regexp_extract(v, r"(?i);\s*expires\s*=\s*([^;]+)", 1)).alias("expires"),
         ),
@@ -112,7 +114,7 @@ def rules() -> list[Rule]:
         Rule("CSP_UNSAFE_INLINE", "warn", "SECURITY", "Inline scripts are allowed.", lambda h: _if(_csp(h, "'unsafe-inline'")), "CONTENT_SECURITY_POLICY"),
         Rule("CSP_UNSAFE_EVAL", "warn", "SECURITY", "Evaluation of text is allowed.", lambda h: _if(_csp(h, "'unsafe-eval'")), "CONTENT_SECURITY_POLICY"),
         Rule("CROSS_ORIGIN_RESOURCE_POLICY_BAD_VALUE", "bad", "SECURITY", "The resource policy has no defined value.", lambda h: _each(F.filter(H.values(h, "cross-origin-resource-policy"), lambda v: ~F.lower(F.trim(v)).isin(_CORP)), lambda v: _vars(value=v))),
-        Rule("STRUCTURED_FIELD_PARSE_ERROR", "bad", "GENERAL", "A structured field does not parse.", lambda h: _each(F.filter(h, lambda x: x["name"].isin("reporting-endpoints", "permissions-policy", "origin-agent-cluster", "accept-ch") & x["value"].rlike(r"^\s*[;=,]|,\s*$|,\s*,")), lambda x: _vars(field_name=x["name"], problem=F.concat(F.lit("member expected\nin "), F.left(x["value"], F.lit(70))), context=F.left(x["value"], F.lit(70))))),
+        Rule("STRUCTURED_FIELD_PARSE_ERROR", "bad", "GENERAL", "A structured field does not parse.", lambda h: _each(F.filter(SF.fields(h), lambda x: x["parsed"]["error"].isNotNull()), _parse_error)),
         Rule("DUPLICATE_KEY", "warn", "GENERAL", "A structured field repeats a key.", lambda h: _duplicate_keys(h)),
         Rule("SET_COOKIE_UNKNOWN_ATTRIBUTE", "info", "COOKIES", "A cookie has an unknown attribute.", lambda h: F.flatten(F.transform(_cookies(h), lambda c: F.transform(F.filter(c["attributes"], lambda a: ~a.isin(list(known.cookie_attributes))), lambda a: _vars(cookie_name=c["name"], attribute=a))))),
         Rule("SET_COOKIE_LIFETIME_TOO_LONG", "warn", "COOKIES", "A cookie lives very long.", lambda h: _each(F.filter(_cookies(h), lambda c: c["max_age"] > LONG_COOKIE), lambda c: _vars(cookie_name=c["name"], duration=c["max_age"]))),
@@ -120,15 +122,14 @@ def rules() -> list[Rule]:
     ]
 
 
-def _duplicate_keys(h: Column) -> Column:
-    def keys(x: Column) -> Column:
-        return F.transform(F.split(x["value"], ","), lambda m: F.lower(F.trim(F.split_part(m, F.lit("="), F.lit(1)))))
+def _parse_error(x: Column) -> Column:
+    near = F.left(x["value"], F.lit(70))
+    return _vars(field_name=x["name"], problem=F.concat(x["parsed"]["error"], F.lit("\nin "), near), context=near, place=x["parsed"]["at"])
 
-    def twice(x: Column) -> Column:
-        return F.filter(F.array_distinct(keys(x)), lambda k: (k != "") & (F.size(F.filter(keys(x), lambda y: y == k)) > 1))
 
-    some = F.filter(h, lambda x: x["name"].isin("reporting-endpoints", "permissions-policy"))
-    return F.flatten(F.transform(some, lambda x: F.transform(twice(x), lambda k: _vars(field_name=x["name"], key=k))))
+def _duplicate_keys(h: Column) -> Column:
+    sound = F.filter(SF.fields(h), lambda x: x["parsed"]["error"].isNull())
+    return F.flatten(F.transform(sound, lambda x: F.transform(SF.repeated(x["parsed"]["keys"]), lambda k: _vars(field_name=x["name"], key=k))))
 
 
 #: Raised where a body is read (``sources.bodies``), not from header lists.
@@ -167,6 +168,12 @@ TRACKED = {
 }
 
 
+@lru_cache
+def notes_of(column: str) -> Column:
+    """``notes`` of a column, built once: it is some thousand calls to the engine, and the same for every table."""
+    return notes(F.col(column))
+
+
 def notes(headers: Column) -> Column:
     """All findings of a response: array of (note_id, level, ancestors, vars)."""
     table = {r.id: r for r in rules()}
