@@ -36,6 +36,7 @@ def header_rows(enriched: DataFrame) -> DataFrame:
 
 
 def note_rows(enriched: DataFrame) -> DataFrame:
-    """One row per finding of a known level: resp_id, url, site, layers, pos, note_id, level, ancestors, vars."""
-    rows = enriched.select("resp_id", "url", "site", "layers", F.posexplode("notes").alias("pos", "n"))
+    """One row per finding of a known level: resp_id, url, site, layers, pos, note_id, level, ancestors, vars. An outer
+    explode, as an inner one would make the planner test the notes before it, and so evaluate all rules again."""
+    rows = enriched.select("resp_id", "url", "site", "layers", F.posexplode_outer("notes").alias("pos", "n"))
     return rows.select("resp_id", "url", "site", "layers", "pos", "n.*").filter(F.col("level").isin(*rules.RANK))

@@ -149,7 +149,7 @@ _SQL = (
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("n"), F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("site"))
     lines = [F.struct(F.lit(name).alias("name"), F.expr(made).alias("value")) for name, made in LINES.values()]
-    rows = numbers.withColumn("headers", F.filter(F.array(*lines), lambda h: h["value"].isNotNull()))
+    rows = numbers.repartition("n").withColumn("headers", F.filter(F.array(*lines), lambda h: h["value"].isNotNull()))
     return enrich(rows.select(F.col("n").alias("resp_id"), F.concat(F.lit("http://"), "site", F.lit("/")).alias("url"), "site", F.lit(CRAWL_TS).alias("crawl_ts"), "headers"))
 
 
