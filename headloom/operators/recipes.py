@@ -48,13 +48,20 @@ def vary_marginals(e: DataFrame) -> DataFrame:
 
 def factored_rows(e: DataFrame, tokens: Column, drop: str, label: str) -> DataFrame:
     """Recipes without one token; those that it alone made up go under ``label``."""
-    whole = H.recipe(tokens)
+    return e.filter(H.recipe(tokens) != "").select("site", without(tokens, drop, label).alias("recipe"))
+
+
+def without(tokens: Column, drop: str, label: str) -> Column:
     rest = H.recipe(F.array_remove(tokens, drop))
-    return e.filter(whole != "").select("site", F.when(rest == "", label).otherwise(rest).alias("recipe"))
+    return F.when(rest == "", label).otherwise(rest)
+
+
+#: The member that nearly every recipe has, and what is shown where there is no other.
+FACTORED = "accept-encoding", "(accept-encoding only)"
 
 
 def vary_factored_rows(e: DataFrame) -> DataFrame:
-    return factored_rows(e, H.vary_tokens(F.col("headers")), "accept-encoding", "(accept-encoding only)")
+    return factored_rows(e, H.vary_tokens(F.col("headers")), *FACTORED)
 
 
 def vary_factored(e: DataFrame) -> DataFrame:

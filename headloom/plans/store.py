@@ -138,7 +138,8 @@ def merged(spark: SparkSession, paths: list[str], name: str) -> DataFrame:
 
 
 def merged_registers(spark: SparkSession, paths: list[str], name: str) -> DataFrame:
-    return hll.union(spark.read.parquet(*[f"{p}/{name}.sites" for p in paths]), SUMS[name].keys)
+    """Stores may hold registers of other widths; those beyond the width of this aggregate don't count."""
+    return hll.union(spark.read.parquet(*[f"{p}/{name}.sites" for p in paths]), SUMS[name].keys, 1 << SUMS[name].p)
 
 
 def merged_context(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -192,7 +193,7 @@ def finish(spark: SparkSession, paths: list[str], path: str, **context: str) ->
 
 def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Results kept as lines of two JSON values with a tab between, in files ``part-*``: key and value, and the lines
-    that are not of that form, which are left out."""
+    that are not of that form, which are left out. ``plans.legacy`` makes a store of them."""
     lines = spark.read.option("pathGlobFilter", "part-*").text(path).withColumnRenamed("value", "line").filter("trim(line) <> ''")
     at = F.instr("line", "\t")
     rows = lines.withColumns({"key": F.when(at > 0, F.col("line").substr(F.lit(1), at - 1)), "value": F.when(at > 0, F.col("line").substr(at + 1, F.length("line")))})
