@@ -69,9 +69,14 @@ def read_wat(spark: SparkSession, paths: str | list[str], record_limit: int = 0)
     return parse_responses(read_lines(spark, paths, record_limit))
 
 
-def parse_outcomes(lines: DataFrame) -> DataFrame:
-    """How many lines parsed, were malformed, or held no response: nothing vanishes unseen."""
-    record = F.from_json("line", _RECORD)
+def outcome(line: Column) -> Column:
+    """malformed, no_response or response."""
+    record = F.from_json(line, _RECORD)
     meta = record["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]
-    outcome = F.when(record["Envelope"].isNull(), "malformed").when(meta.isNull(), "no_response").otherwise("response")
-    return lines.groupBy(outcome.alias("outcome")).count()
+    return F.when(record["Envelope"].isNull(), "malformed").when(meta.isNull(), "no_response").otherwise("response")
+
+
+def parse_outcomes(lines: DataFrame) -> DataFrame:
+    """How many lines parsed, were malformed, or held no response, by a pass of its own; ``plans.outcomes`` counts
+    them in the scan itself."""
+    return lines.groupBy(outcome(F.col("line")).alias("outcome")).count()

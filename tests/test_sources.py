@@ -4,6 +4,7 @@ import json
 import pytest
 
 from headloom import config
+from headloom.plans import outcomes
 from headloom.sources import logs, paths, tables, wat
 
 
@@ -50,6 +51,37 @@ def test_paths(spark, tmp_path):
     assert sorted(r["count"] for r in paths.chunks(many, 3).groupBy("chunk").count().collect()) == [1, 3, 3]
 
 
+def test_paths_keep_file_order(spark, tmp_path):
+    """Several files, split into blocks, adaptive execution on: chunks are runs of the files' lines."""
+    want = []
+    for name in "ab":
+        lines = [f"{name}/{(i * 7919) % 1000:04}/x.warc.gz" for i in range(400)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        want += lines
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = paths.read_paths(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > 4
+        dealt = paths.chunks(found, 7).orderBy("chunk", *paths.PLACE).collect()
+        assert [r.path for r in dealt] == want and [r.chunk for r in dealt] == [i // 115 for i in range(800)]
+        assert sorted(r.path for r in paths.read_paths(spark, str(tmp_path), 403).collect()) == sorted(want[:403])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_outcomes_of_a_scan(spark, tmp_path):
+    """Counts come out of the one scan that writes the enriched table."""
+    lines = [envelope(f"http://{s}.example/", {"Server": "nginx"}) for s in "aabc"] + ["{broken", '{"Envelope": {}}', "no json", envelope("http://a.example/", {}).replace("HTTP-Response", "HTTP-Request")]
+    (tmp_path / "x.wat").write_text("\n".join(lines) + "\n")
+    sites = spark.createDataFrame([("a.example",), ("b.example",)], "site string")
+    got = outcomes.write_enriched(spark, str(tmp_path / "x.wat"), str(tmp_path / "out"), sites)
+    assert got == {"read": 7, "malformed": 1, "no_response": 2, "filtered": 1, "linted": 3}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    again = outcomes.Outcomes()
+    again.enriched(again.responses(wat.read_lines(spark, str(tmp_path / "x.wat")))).write.format("noop").mode("overwrite").save()
+    assert again.context() == {"lines_read": "7", "lines_malformed": "1", "lines_no_response": "2", "lines_filtered": "0", "lines_linted": "4"}
+
+
 def test_top_sites(spark, tmp_path):
     (tmp_path / "t").write_text("1,a.example\nbad\n3,c.example\n4,d.example\n")
     assert {r.site for r in tables.top_sites(spark, str(tmp_path / "t"), 3).collect()} == {"a.example", "c.example"}
