@@ -4,8 +4,8 @@ Heuristic labellers look at whole texts and vote good, bad or nothing. How often
 over all documents (a table bounded by three to the number of labellers) feeds expectation-maximisation,
 which estimates how each labeller votes on good and on bad documents and how common good ones are; that
 gives each pattern a posterior. Posteriors are the soft labels of a linear scorer over hashed features of
-words and of word shapes, fitted to a bounded sample (``SAMPLE_DOCS`` documents in the order of a seeded hash
-of their ids). Every document is then scored, and those under ``THRESHOLD`` are rejected.
+words and of word shapes, fitted to a bounded sample (``SAMPLE_DOCS`` distinct texts, in the order of a seeded hash
+of the text, so ids and copies have no say). Every document is then scored, and those under ``THRESHOLD`` are rejected.
 
 Few words are little evidence: under ``ENOUGH_WORDS`` words, shares are drawn to the middle between good and bad,
 and the scorer's log odds to those of the text's votes, in proportion to the words that are missing. Words of over ``LONG_WORD`` bytes are
@@ -203,10 +203,12 @@ def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 8.0
     return w
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray, float]:
+def train(df: DataFrame, text_col: str = "text", sample: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights of the scorer; log odds of good by labeller and vote, and before any vote. Vote counts cover all documents; the fit uses a bounded sample."""
-    pattern = df.select(vote_pattern(F.col(text_col)).alias("p")).groupBy("p").count()
-    counts = {r["p"]: r["count"] for r in pattern.collect()}
+    place = F.xxhash64(F.lit(SEED), F.coalesce(F.col(text_col), F.lit("")))
+    pattern = df.select(vote_pattern(F.col(text_col)).alias("p"), place.alias("place")).groupBy("p").agg(F.count(F.lit(1)).alias("count"), F.approx_count_distinct("place").alias("texts"))
+    found = pattern.collect()  # bounded by the patterns
+    counts, total = {r["p"]: r["count"] for r in found}, sum(r["texts"] for r in found)
     silent = int((3 ** np.arange(len(LABELLERS))).sum())
     counts.pop(silent, None)  # no votes say nothing about the labellers
     if not counts:
@@ -215,11 +217,9 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     odds = np.log(table[:, 1] / table[:, 0])
     odds[:, 1] = 0  # a short text's silence says nothing
     even = float(np.log(prior / (1 - prior)))
-    total = sum(counts.values())
-
-    place = F.xxhash64(F.lit(SEED), F.col(id_col))
     near = df.filter(place < int(min(1.0, 1.5 * sample / total) * 2.0**64 - 2.0**63 - (2048 if 1.5 * sample >= total else 0)))
-    rows = near.orderBy(place).limit(sample).select(F.col(text_col).alias("text"), vote_pattern(F.col(text_col)).alias("p"))
+    near = near.select(place.alias("place"), F.col(text_col).alias("text")).dropDuplicates(["place"])
+    rows = near.orderBy("place").limit(sample).select("text", vote_pattern(F.col("text")).alias("p"))
 
     @F.arrow_udf("binary")
     def described(column: pa.Array) -> pa.Array:
@@ -235,15 +235,15 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 def log_odds(w: Words, weights: np.ndarray, odds: np.ndarray, even: float) -> float:
     """Of a good document."""
     z = float(np.clip(features(w) @ weights, -30, 30))
-    if w.n < ENOUGH_WORDS:
-        sure = w.n / ENOUGH_WORDS
+    if w.n < ENOUGH_WORDS or not weights.any():  # a scorer that could not be fitted leaves it to the votes
+        sure = w.n / ENOUGH_WORDS if weights.any() else 0.0
         z = sure * z + (1 - sure) * float(np.clip(even + odds[np.arange(len(LABELLERS)), votes(w) + 1].sum(), -30, 30))
     return z
 
 
-def with_quality(df: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_quality(df: DataFrame, name: str, text_col: str = "text") -> DataFrame:
     """``df`` with the column ``name``: the scorer's probability of a good document; 1 where a text has no words."""
-    model = train(df, id_col, text_col)
+    model = train(df, text_col)
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
@@ -254,12 +254,12 @@ def with_quality(df: DataFrame, name: str, id_col: str = "doc_id", text_col: str
     return df.withColumn(name, score(F.col(text_col)))
 
 
-def drop_low_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def drop_low_quality(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
     name = "_quality"
     while name in df.columns:
         name += "_"
-    return with_quality(df, name, id_col, text_col).filter(F.col(name) >= threshold).drop(name)
+    return with_quality(df, name, text_col).filter(F.col(name) >= threshold).drop(name)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

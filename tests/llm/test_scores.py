@@ -3,6 +3,8 @@ import base64
 import duckdb
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from headloom.llm import licence_texts, licenses, quality
 from tests.conftest import SF
 
@@ -41,6 +43,21 @@ def test_estimate_recovers_accuracies():
     assert abs(prior - 0.8) < 0.02 and np.abs(table[:, 1, 2] - right).max() < 0.02
 
 
+def test_quality_whatever_the_ids_and_copies(spark):
+    """Null, repeated and absent ids give the scores of distinct ones; a text with thousands of copies doesn't crowd out the sample."""
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet").select("doc_id", "text")
+    weights, odds, even = quality.train(docs, sample=200)
+    assert weights.any()
+    want = {r.doc_id: r.q for r in quality.with_quality(docs, "q").select("doc_id", "q").collect()}
+    for other in (docs.withColumn("doc_id", F.lit(None).cast("long")), docs.withColumn("doc_id", F.lit(7)), docs.drop("doc_id")):
+        again = quality.train(other, sample=200)
+        assert (again[0] == weights).all() and (again[1] == odds).all() and again[2] == even
+    scored = quality.with_quality(docs.withColumn("id", F.col("doc_id")).withColumn("doc_id", F.lit(None).cast("long")), "q")
+    assert {r.id: r.q for r in scored.select("id", "q").collect()} == want
+    copies = docs.unionByName(docs.limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("n"))
+    assert quality.train(copies, sample=200)[0].any()
+
+
 def test_quality_edges(spark, awkward, nothing):
     assert quality.drop_low_quality(awkward).columns == awkward.columns
     assert {r.doc_id for r in quality.drop_low_quality(awkward).collect()} >= {1, 2, 3, 12}
