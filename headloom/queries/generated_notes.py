@@ -64,7 +64,7 @@ LINES = {
     "corp": ("cross-origin-resource-policy", _when(("n % 9 = 1", "'same-site'"), ("n % 9 = 2", "' Cross-Origin'"), ("n % 9 = 3", "'anything'"))),
     "sc": (
         "set-cookie",
-        _when(("n % 3 = 1", f"'a=' || repeat('v', CAST(n % 9 * 512 AS INT)) || '; Max-Age=' || {_N('n * 7919 % 90000000')} || {_when(('n % 2 = 0', chr(39) + '; Path=/; HttpOnly' + chr(39)), ('n % 2 = 1', chr(39) + '; Foo; Bar=1 ;; SameSite=Lax' + chr(39)))}")),
+        _when(("n % 3 = 1", f"'a=' || repeat('v', CAST(n % 9 * 600 AS INT)) || '; Max-Age=' || {_N('n * 7919 % 90000000')} || {_when(('n % 2 = 0', chr(39) + '; Path=/; HttpOnly' + chr(39)), ('n % 2 = 1', chr(39) + '; Foo; Bar=1 ;; SameSite=Lax' + chr(39)))}")),
     ),
     "sc2": ("set-cookie", _when(("n % 4 = 2", "'b=2; Priority=High; Max-Age=-5'"))),
     "pp": (
