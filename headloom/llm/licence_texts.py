@@ -1,4 +1,4 @@
-"""Template texts of public licences: notices, tags, grants and whole texts."""
+"""Template texts of public licences: notices, tags, grants, whole texts and titles."""
 
 from __future__ import annotations
 
@@ -40,11 +40,15 @@ NOTICES = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("GPL-1.0", "This work is licensed under the GNU General Public License, version 1."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("ISC", "Released under the ISC License."),
+    ("LGPL-2.0", "This work is licensed under the GNU Library General Public License, version 2."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
+    ("MPL-1.1", "Licensed under the Mozilla Public License, Version 1.1."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
     ("Proprietary", "Copyright. All rights reserved."),
     ("Unlicense", "Released under the Unlicense."),
@@ -79,6 +83,7 @@ TEXTS = [
     ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide under CC0 1.0 Universal."),
+    ("GPL-1.0", _gnu("GNU General Public License", "1")),
     ("GPL-2.0", _gnu("GNU General Public License", "2")),
     ("GPL-3.0", _gnu("GNU General Public License", "3")),
     (
@@ -89,6 +94,8 @@ TEXTS = [
         "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR "
         "IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
+    ("LGPL-2.0", _gnu("GNU Library General Public License", "2")),
+    ("LGPL-2.1", _gnu("GNU Lesser General Public License", "2.1")),
     ("LGPL-3.0", _gnu("GNU Lesser General Public License", "3")),
     (
         "MIT",
@@ -120,6 +127,37 @@ TEXTS = [
     ),
 ]
 
-_NAMES = sorted({name for name, _ in [*NOTICES, *TEXTS]} - {"Proprietary"})
+#: How the full terms of public licences begin. A licence of many pages is known by its title.
+TITLES = [
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("Apache-1.1", "Apache License Version 1.1"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Artistic-1.0", "The \"Artistic License\" Preamble"),
+    ("Artistic-2.0", "The Artistic License 2.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("CDDL-1.0", "Common Development and Distribution License (CDDL) Version 1.0"),
+    ("CDDL-1.1", "Common Development and Distribution License (CDDL) Version 1.1"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EUPL-1.1", "European Union Public Licence V. 1.1"),
+    ("EUPL-1.2", "European Union Public Licence v. 1.2"),
+    ("GFDL-1.1", "GNU Free Documentation License Version 1.1, March 2000"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("GPL-1.0", "GNU General Public License Version 1, February 1989"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU Library General Public License Version 2, June 1991"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("MPL-1.0", "Mozilla Public License Version 1.0"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
+
+_NAMES = sorted({name for name, _ in [*NOTICES, *TEXTS, *TITLES]} - {"Proprietary"})
 TAGS = [(name, f"SPDX-License-Identifier: {name}") for name in _NAMES]
 TEMPLATES = [*NOTICES, *TAGS, *TEXTS]

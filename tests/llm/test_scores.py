@@ -1,7 +1,9 @@
 import base64
+import os
 
 import duckdb
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -100,6 +102,45 @@ def test_whole_licences_headers_and_tags(spark):
     assert found == {i: r[:2] for i, r in enumerate(rows)}
 
 
+COMMON = "/usr/share/common-licenses"
+FULL_TERMS = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0",
+    "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="no public licence files on this machine")
+def test_full_terms_are_named_rightly_or_not_at_all(spark):
+    """Held-out texts: whole public licences, and the same without their title, which may be named by none, never by
+    another; texts that only mention, quote or follow licences."""
+    rows = []
+    for file, want in FULL_TERMS.items():
+        text = open(f"{COMMON}/{file}", encoding="latin1").read()
+        rows += [(f"w/{file}/x", text, {want}), (f"t/{file}/x", "\n".join(text.split("\n")[6:]), {want, None})]
+    rows += [
+        ("e/1/x", "Eclipse Public License - v 3.0\n\nTHE PROGRAM IS PROVIDED UNDER THIS LICENSE\nsee the GNU General Public License, version 2\nCopyright. All rights reserved.", {None}),
+        ("e/2/x", "Licensed under the Apache License, Version 1.0.", {None}), ("e/3/x", "GNU GENERAL PUBLIC LICENSE\nVersion 4, 2031", {None}),
+        ("e/4/x", "some of the GNU General Public License as published by the Free Software Foundation", {None}),
+        ("e/5/x", "Copyright. All rights reserved.\nPermission to redistribute is granted to members.", {None}), ("e/6/x", "notes\nCopyright. All rights reserved.\nmore", {"Proprietary"}),
+        ("e/7/x", "License\n\nReleased under the MIT License.", {"MIT"}), ("e/8/x", "GNU Affero General Public License\n  Version 3, 19 November 2007\n\nthe terms", {"AGPL-3.0"}),
+    ]
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "doc_id long, path string, text string")
+    found = {r.path: r.license for r in licenses.scan(df).collect()}
+    assert {p: found[p] for p, _, want in rows if found[p] not in want} == {}
+
+
+def test_a_directory_of_most_rows(spark, monkeypatch):
+    """What a hot directory inherits comes by another join, with the same rows."""
+    rows = [(i, f"hot/{i}" if i % 3 else f"cold{i}/sub/x", "Released under the MIT License." if i in (1, 3, 10) else "code") for i in range(60)] + [(3, "cold3/LICENSE", "Released under the MIT License.")]
+    df = spark.createDataFrame([*rows, (None, None, "code")], "doc_id long, path string, text string")
+    seen = []
+    for hot in (1, 4, 10**6):
+        monkeypatch.setattr(licenses, "HOT", hot)
+        seen.append(sorted((tuple(r) for r in licenses.scan(df).collect()), key=str))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 62
+    assert sum(r[2] == "MIT" and r[4] == "inherited" for r in seen[0]) == 38
+
+
 def test_licence_sql_agrees(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS FROM '{SF}/documents.parquet'")
