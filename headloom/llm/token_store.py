@@ -13,6 +13,7 @@ frame of its own. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,10 +34,21 @@ _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("tokens",
 _ROW = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host by which Spark finds it: one without a scheme lies in the default file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+def uri(path: str) -> str:
+    """A qualified path as ``pyarrow.fs`` spells it."""
+    return re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", path))
+
+
 def _filesystem(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return fs.FileSystem.from_uri(uri(path))
 
 
 class FrameWriter:
@@ -123,6 +135,7 @@ def write_tokens(
 ) -> DataFrame:
     """Encode ``df`` in ascending order of id into files below ``path``; returns part, file, tokens."""
     spark = df.sparkSession
+    path = qualified(spark, path)
     total = df.agg(F.sum(size_of(text_col) + 16).alias("n")).first()["n"] or 0
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = max(1, -(-total // part_bytes))
@@ -159,6 +172,7 @@ def write_tokens(
 
 def read_tokens(listed: DataFrame, path: str, wanted: list[int] | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit); ``wanted``: a bounded list of ids."""
+    path = qualified(listed.sparkSession, path)
     starts = running_start(listed, "part", "tokens", "start").select("file", "start")
     pick = None if wanted is None else set(wanted)
 

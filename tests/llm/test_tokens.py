@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from headloom.llm.packing import best_pattern, pack, solve_patterns
-from headloom.llm.token_store import FrameReader, FrameWriter, read_tokens, write_tokens
+from headloom.llm.token_store import FrameReader, FrameWriter, qualified, read_tokens, uri, write_tokens
 from headloom.llm.tokens import BYTE_VOCAB, WORD_VOCAB, Encoder
 
 TEXTS = ["a  b", "a \n b", "x\n  y", " lead", "trail ", "two  ", "\n\n a  b  c", "", "a   b\t \tc", "don't  stop 'll", "É ǅ Σας ΣΑΣ", "a  b  c", "<|endoftext|> hi", "so<|endoftext|>on  <|ENDOFTEXT|>\n<|startoftext|>", "n\r\nm", "\x1f q", "l" * 50 + " m"]
@@ -119,3 +119,21 @@ def test_packing_covers_every_id_once(awkward, nothing):
             at += n
         assert at <= 256
     assert pack(nothing).count() == 0
+
+
+def test_paths_are_those_of_spark(spark, tmp_path):
+    """A path without a scheme goes to the default file system, not to the disk of whichever machine runs a task."""
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    assert qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    try:
+        conf.set("fs.defaultFS", "viewfs://cluster/")
+        conf.set("fs.viewfs.mounttable.cluster.link./data", f"file://{tmp_path}")
+        assert qualified(spark, "/data/tokens") == "viewfs://cluster/data/tokens"
+    finally:
+        conf.set("fs.defaultFS", before)
+        conf.unset("fs.viewfs.mounttable.cluster.link./data")
+    assert [uri(x) for x in ("file:/a/b", "file:///a", "s3a://b/k", "s3n://b/k", "hdfs://n:1/x")] == ["file:///a/b", "file:///a", "s3://b/k", "s3://b/k", "hdfs://n:1/x"]
+    docs = spark.createDataFrame([(1, "one"), (2, None)], "doc_id long, text string")
+    for at in (str(tmp_path / "a"), f"file:{tmp_path}/b", f"file://{tmp_path}/c"):
+        assert read_tokens(write_tokens(docs, at), at).count() == 2
