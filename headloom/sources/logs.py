@@ -17,32 +17,48 @@ def _fields(lines: DataFrame, pattern: str, *names: tuple[str, str]) -> DataFram
     return found.select("container", *[F.regexp_extract("line", pattern, i + 1).try_cast(kind).alias(n) for i, (n, kind) in enumerate(names)])
 
 
+#: What a worker's lines look like.
+FINISHED = r"INFO: finished WARC \d+: (.+?) \| records=(\d+) total_ms=(\d+) process_ms=(\d+) iterator_download_ms=(\d+)"
+FAILED = r"ERROR: failed WARC \d+: (.+?) \| exit_code=([^ ]+)(?: signal=(\d+))?"
+TIMED_OUT = r"ERROR: timeout WARC \d+: (.+?) after (\d+)s; terminating child"
+STARTED = r"mapper_init finished successfully in (\d+)ms"
+JITTER = r"jitter sleep ([0-9.]+)s"
+
+
+def telling(lines: DataFrame) -> DataFrame:
+    """The lines that one of the patterns finds."""
+    return lines.filter(F.col("line").rlike("|".join((FINISHED, FAILED, TIMED_OUT, STARTED, JITTER))))
+
+
 def finished(lines: DataFrame) -> DataFrame:
-    pattern = r"INFO: finished WARC \d+: (.+?) \| records=(\d+) total_ms=(\d+) process_ms=(\d+) iterator_download_ms=(\d+)"
-    return _fields(lines, pattern, ("path", "string"), ("records", "long"), ("total_ms", "long"), ("process_ms", "long"), ("iterator_ms", "long"))
+    return _fields(lines, FINISHED, ("path", "string"), ("records", "long"), ("total_ms", "long"), ("process_ms", "long"), ("iterator_ms", "long"))
 
 
 def failed(lines: DataFrame) -> DataFrame:
-    return _fields(lines, r"ERROR: failed WARC \d+: (.+?) \| exit_code=([^ ]+)(?: signal=(\d+))?", ("path", "string"), ("exit_code", "string"), ("signal", "string"))
+    return _fields(lines, FAILED, ("path", "string"), ("exit_code", "string"), ("signal", "string"))
 
 
 def timed_out(lines: DataFrame) -> DataFrame:
-    return _fields(lines, r"ERROR: timeout WARC \d+: (.+?) after (\d+)s; terminating child", ("path", "string"), ("timeout_s", "long"))
+    return _fields(lines, TIMED_OUT, ("path", "string"), ("timeout_s", "long"))
 
 
 def mappers(lines: DataFrame) -> DataFrame:
     """Per container: start-up, jitter and sums over its finished archives."""
-    start = F.max(F.regexp_extract("line", r"mapper_init finished successfully in (\d+)ms", 1).try_cast("long")).alias("init_ms")
-    jitter = F.max((F.regexp_extract("line", r"jitter sleep ([0-9.]+)s", 1).try_cast("double") * 1000).cast("long")).alias("jitter_ms")
+    start = F.max(F.regexp_extract("line", STARTED, 1).try_cast("long")).alias("init_ms")
+    jitter = F.max((F.regexp_extract("line", JITTER, 1).try_cast("double") * 1000).cast("long")).alias("jitter_ms")
     sums = finished(lines).groupBy("container").agg(
         F.sum("total_ms").alias("warc_total_ms"), F.sum("process_ms").alias("process_ms"), F.sum("iterator_ms").alias("iterator_ms"), F.sum("records").alias("records"), F.count(F.lit(1)).alias("warcs")
     )
-    return sums.join(lines.groupBy("container").agg(start, jitter), "container", "left").na.fill(0, ["init_ms", "jitter_ms"])
+    return sums.join(lines.groupBy("container").agg(start, jitter), "container", "left").na.fill(0, ["init_ms", "jitter_ms"]).withColumn("elapsed_ms", F.col("init_ms") + F.col("jitter_ms") + F.col("warc_total_ms"))
 
 
-def slowest(lines: DataFrame, n: int = 10) -> DataFrame:
+def slowest_of(archives: DataFrame, n: int = 10) -> DataFrame:
     """The archives that took longest."""
-    return finished(lines).orderBy(F.desc("total_ms"), "path").limit(n)
+    return archives.orderBy(F.desc("total_ms"), "path").limit(n)
+
+
+def slowest(lines: DataFrame, n: int = 10) -> DataFrame:
+    return slowest_of(finished(lines), n)
 
 
 def summary(lines: DataFrame) -> DataFrame:

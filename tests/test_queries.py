@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from headloom.queries import analysis, archives, generated, generated_notes
+from headloom.queries import analysis, archives, generated, generated_notes, worker_logs
 from tests.conftest import SF
 
 
@@ -18,7 +18,7 @@ def plain(x):
     return round(float(x), 5) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
 
-QUERIES, SQL = (analysis.queries() | generated.queries() | archives.queries() | generated_notes.queries()), (analysis.oracle_sql() | generated.oracle_sql() | archives.oracle_sql() | generated_notes.oracle_sql())
+QUERIES, SQL = (analysis.queries() | generated.queries() | archives.queries() | generated_notes.queries() | worker_logs.queries()), (analysis.oracle_sql() | generated.oracle_sql() | archives.oracle_sql() | generated_notes.oracle_sql() | worker_logs.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
