@@ -76,6 +76,21 @@ def category_bytes(e: DataFrame) -> DataFrame:
     return categories_of(header_bytes(e))
 
 
+#: Single headers that a report of bytes points at.
+CALLOUTS = ["set-cookie", "content-security-policy"]
+
+
+def byte_callouts(e: DataFrame) -> DataFrame:
+    """Bytes of the headers in ``CALLOUTS`` that occur, and their per cent of all header bytes."""
+    return callouts_of(header_bytes(e))
+
+
+def callouts_of(sizes: DataFrame) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(n).alias("name"), F.sum(F.when(F.col("name") == n, F.col("bytes"))).alias("bytes")) for n in CALLOUTS])
+    rows = sizes.agg(F.sum("bytes").alias("whole"), each.alias("each")).select("whole", F.explode("each").alias("x")).filter("x.bytes > 0")
+    return rows.select("x.name", "x.bytes", F.round(F.col("x.bytes") * 100.0 / F.col("whole"), 6).alias("pct"))
+
+
 def categories_of(sizes: DataFrame) -> DataFrame:
     kinds = sizes.sparkSession.createDataFrame([("standard",), ("deprecated",), ("proprietary",)], "category string")
     sums = sizes.groupBy(H.category(F.col("name")).alias("category")).agg(F.sum("bytes").alias("bytes"))

@@ -19,6 +19,11 @@ from headloom.plans.store import Tables
 
 SMALL = 1_000_000  # below this many responses, unseen notes say little
 
+CALLOUT_NOTES = {
+    "set-cookie": "set-cookie: clients send every cookie back with later requests, so these bytes are the lesser part of its traffic.",
+    "content-security-policy": "content-security-policy: the policy buckets show how its size spreads over sites.",
+}
+
 
 @dataclass
 class Section:
@@ -143,6 +148,9 @@ def sections(of: DataFrame | Tables) -> list[Section]:
     large.notes.append(f"{size_text(block)} in all, {size_text(block / total) if total else 0} a response.")
     out.append(large)
     out.append(_ordered("Header block sizes", t("blocks"), "bucket", "responses", T.BYTES))
+    noted = _table("Single headers of note", counters.callouts_of(sizes), ["name", "bytes", "pct"], "bytes")
+    noted.notes = [CALLOUT_NOTES[name] for name, *_ in noted.rows]
+    out.append(noted)
     out.append(_table("Bytes by category", counters.categories_of(sizes), ["category", "bytes"], "bytes"))
     out += _census(t)
     out.append(_table("Infrastructure", counters.layer_roles(layers).withColumn("pct", share), ["layer", "role", "responses", "pct"], "responses"))

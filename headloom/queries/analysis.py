@@ -53,6 +53,7 @@ _of("unregistered_presence", counters.unregistered, f"SELECT name, count(DISTINC
 _of("severity_rollup", counters.severity, "SELECT s AS severity, count(*) AS responses FROM (SELECT r.resp_id, CASE max(CASE level WHEN 'bad' THEN 4 WHEN 'warn' THEN 3 WHEN 'info' THEN 2 WHEN 'good' THEN 1 ELSE 0 END) WHEN 4 THEN 'bad' WHEN 3 THEN 'warn' WHEN 2 THEN 'info' WHEN 1 THEN 'good' ELSE 'clean' END AS s FROM resp r LEFT JOIN notes n ON n.resp_id = r.resp_id GROUP BY r.resp_id) GROUP BY s")
 _of("health_pct", lambda e: counters.severity(e).withColumn("pct", F.round(F.col("responses") * 100.0 / F.sum("responses").over(Window.partitionBy()), 6)), "SELECT s AS severity, count(*) AS responses, round(count(*) * 100.0 / (SELECT count(*) FROM resp), 6) AS pct FROM (SELECT r.resp_id, CASE max(CASE level WHEN 'bad' THEN 4 WHEN 'warn' THEN 3 WHEN 'info' THEN 2 WHEN 'good' THEN 1 ELSE 0 END) WHEN 4 THEN 'bad' WHEN 3 THEN 'warn' WHEN 2 THEN 'info' WHEN 1 THEN 'good' ELSE 'clean' END AS s FROM resp r LEFT JOIN notes n ON n.resp_id = r.resp_id GROUP BY r.resp_id) GROUP BY s")
 _of("byte_economics", counters.header_bytes, "SELECT name, CAST(sum(n) AS BIGINT) AS bytes FROM bytes GROUP BY name")
+_of("byte_callouts", counters.byte_callouts, "SELECT name, CAST(sum(n) AS BIGINT) AS bytes, round(sum(n) * 100.0 / (SELECT sum(n) FROM bytes), 6) AS pct FROM bytes WHERE name IN ('set-cookie', 'content-security-policy') GROUP BY name")
 _of("total_header_bytes", counters.total_header_bytes, "SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_header_bytes FROM bytes")
 _of("block_hist", lambda e: counters.block_histogram(e).drop("ord"), "SELECT CASE WHEN b < 256 THEN '<256 B' WHEN b < 1024 THEN '256-1023 B' ELSE '1-4 KB' END AS bucket, count(*) AS responses FROM (SELECT r.resp_id, coalesce(sum(n), 0) AS b FROM resp r LEFT JOIN bytes USING (resp_id) GROUP BY r.resp_id) GROUP BY 1")
 _of("category_split", counters.category_bytes, f"SELECT c.category, CAST(coalesce(sum(n), 0) AS BIGINT) AS bytes FROM (VALUES ('standard'), ('deprecated'), ('proprietary')) c(category) LEFT JOIN (SELECT n, CASE WHEN name IN ({_OLD}) THEN 'deprecated' WHEN name IN ({_KNOWN}) THEN 'standard' ELSE 'proprietary' END AS category FROM bytes) USING (category) GROUP BY 1")

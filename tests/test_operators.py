@@ -205,13 +205,21 @@ def test_records(spark, tmp_path):
 
 
 def test_report(spark, tmp_path):
-    e = made(spark, [("server", "nginx"), ("vary", "a|b"), ("pragma", "<x>")], []).cache()
+    e = made(spark, [("server", "nginx"), ("vary", "a|b"), ("pragma", "<x>")], [("set-cookie", "a=1")]).cache()
     parts = report.write(e, str(tmp_path / "r.html"), title="A & B")
     page, text = (tmp_path / "r.html").read_text(), (tmp_path / "r.md").read_text()
     assert "A &amp; B" in page and "a\\|b" in text and all(s.title in text for s in parts)
     assert page.count("<section") == len(parts) == text.count("\n## ")
     assert report.size_text(1536) == "1.5 KB" and report.markdown_path("a/b") == "a/b.md"
     assert any("missing by chance" in n for s in parts for n in s.notes)
+    (noted,) = [s for s in parts if s.title == "Single headers of note"]
+    assert [r[0] for r in noted.rows] == ["set-cookie"] and "set-cookie: clients" in text and "content-security-policy: the policy" not in text
+
+
+def test_byte_callouts(spark):
+    sizes = spark.createDataFrame([("set-cookie", 30), ("server", 50), ("content-security-policy", 20)], "name string, bytes long")
+    assert sorted(map(tuple, counters.callouts_of(sizes).collect())) == [("content-security-policy", 20, 20.0), ("set-cookie", 30, 30.0)]
+    assert counters.callouts_of(sizes.filter("name = 'server'")).count() == 0 and counters.callouts_of(sizes.limit(0)).count() == 0
 
 
 def test_stream(spark, tmp_path):
