@@ -186,3 +186,20 @@ def test_lines_of_one_field(spark):
     assert got["permissions-policy"].parsed["keys"] == ["camera", "a", "a"] and got["permissions-policy"].parsed.error is None and got["accept-ch"].parsed["keys"] == []
     twice = df.select(F.explode(structured.fields(F.col("h"))).alias("f")).select("f.name", structured.repeated(F.col("f.parsed.keys")).alias("k")).filter("size(k) > 0").collect()
     assert [(r.name, r.k) for r in twice] == [("permissions-policy", ["a"])]
+
+
+def test_parts_are_read_once(spark):
+    """However many rules read a part of the header list, it is cut out once."""
+    from headloom.functions import headers
+    from headloom.plans import rules
+
+    text = str(rules.notes(F.col("headers")))
+    assert text.count(headers._OUTSIDE_QUOTES) == 1 and text.count("regexp_extract_all(") == 2  # keys and lexemes
+
+
+def test_generated_headers_use_all_cores(spark):
+    """A shuffle of numbers is small, so an exchange that the engine may merge made all headers in few tasks."""
+    from headloom.queries import generated_notes
+
+    made = generated_notes.generated(spark, "/root/testdata/sf0.001").select("resp_id", F.spark_partition_id().alias("p"))
+    assert made.agg(F.countDistinct("p")).first()[0] == generated_notes.TASKS_A_CORE * spark.sparkContext.defaultParallelism
