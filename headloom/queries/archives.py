@@ -14,7 +14,7 @@ from headloom.operators import findings
 from headloom.plans import rules
 from headloom.plans.enrich import enrich
 from headloom.sources import warc, wat
-from headloom.sources.scratch import shared_path
+from headloom.sources.scratch import ARROW_BYTES, each_row, shared_path, small_batches
 
 #: JSON members of a record's headers, as text made from n that Spark and SQL both evaluate.
 _MEMBERS = [
@@ -76,20 +76,25 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request, a response and a metadata record of every page."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for n, url, html, line in zip(*(batch.column(c).to_pylist() for c in ("n", "url", "html", "line")), strict=True):
-                headers, body = _coded((html or "").encode(), n % KINDS)
-                top = "HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [("Server", "nginx"), *headers]) + "\r\n"
-                for kind, content, block in (
-                    ("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\n\r\n"),
-                    ("response", "application/http; msgtype=response", top.encode() + body),
-                    ("metadata", "application/json", line.encode()),
-                ):
-                    rows.append({"rec_type": kind, "url": url, "ip": "10.0.0.1", "date": "2026-06-29T10:18:14Z", "content_type": content, "block": block})
+        rows, room = [], 0
+        for n, url, html, line in each_row(batches, ("n", "url", "html", "line")):
+            headers, body = _coded((html or "").encode(), n % KINDS)
+            top = "HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [("Server", "nginx"), *headers]) + "\r\n"
+            for kind, content, block in (
+                ("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\n\r\n"),
+                ("response", "application/http; msgtype=response", top.encode() + body),
+                ("metadata", "application/json", line.encode()),
+            ):
+                rows.append({"rec_type": kind, "url": url, "ip": "10.0.0.1", "date": "2026-06-29T10:18:14Z", "content_type": content, "block": block})
+                room += len(block) + 1000
+            if room > ARROW_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows, room = [], 0
+        if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([(c, pa.binary() if c == "block" else pa.string()) for c in ("rec_type", "url", "ip", "date", "content_type", "block")])
+    small_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("n"), "url", "html")
     return pages.repartition("n").withColumn("line", F.expr(_LINE)).mapInArrow(made, warc.WRITTEN)
 

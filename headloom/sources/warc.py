@@ -19,11 +19,12 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from headloom.functions.text import latin1, site
 from headloom.sources import wat
 from headloom.sources.bodies import PIECE, Bytes, Unsound, inspect
+from headloom.sources.scratch import each_row, give_back, small_batches
 
 _NOTE = "array<struct<note_id: string, level: string, ancestors: array<string>, vars: map<string, string>>>"
 RECORD = (
@@ -32,6 +33,7 @@ RECORD = (
     f"body_bytes long, decoded_bytes long, decoded_sha256 string, body binary, body_error string, body_notes {_NOTE}, block binary, error string"
 )
 WRITTEN = "rec_type string, url string, ip string, date string, content_type string, block binary"
+_COLUMNS = "rec_type", "url", "ip", "date", "content_type", "block"
 _OPENS = "file", "hdfs", "s3", "gs"  # what executors open by themselves; the rest comes through Spark
 _FLUSH = 4 << 20
 
@@ -185,6 +187,7 @@ class _Reader(DataSourceReader):
         files, path = _open(partition.uri)
         with files.open_input_stream(path, compression=None) as stream:
             yield from _batches(records(stream.read, partition.uri, self.types, self.keep, self.longest))
+        give_back()
 
 
 @dataclass
@@ -192,21 +195,21 @@ class _Part(WriterCommitMessage):
     name: str | None
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """A file a task, under a name that starts with a dot until the job is committed."""
 
     def __init__(self, options: dict):
         self.folder = options["path"]
 
-    def write(self, rows) -> _Part:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Part:
         files, folder = _open(self.folder)
         name, out = f"part-{uuid.uuid4().hex}.warc.gz", None
-        for row in rows:
+        for kind, url, ip, date, content, block in each_row(batches, _COLUMNS):
             if out is None:
                 files.create_dir(folder, recursive=True)
                 out = files.open_output_stream(f"{folder}/.{name}", compression=None)
-            block = bytes(row["block"] or b"")
-            head = {"WARC-Type": row["rec_type"], "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Target-URI": row["url"], "WARC-IP-Address": row["ip"], "WARC-Date": row["date"], "Content-Type": row["content_type"], "Content-Length": len(block)}
+            block = block or b""
+            head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Target-URI": url, "WARC-IP-Address": ip, "WARC-Date": date, "Content-Type": content, "Content-Length": len(block)}
             lines = "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None)
             out.write(gzip.compress(f"WARC/1.0\r\n{lines}\r\n".encode() + block + b"\r\n\r\n", 6, mtime=0))
         if out is None:
@@ -270,7 +273,8 @@ def read_warc(spark: SparkSession, paths: str | list[str], types: tuple[str, ...
 def write_warc(rows: DataFrame, folder: str) -> None:
     """Appends ``rows`` (see ``WRITTEN``) to ``folder``, a URI: a gzip member a record, a file a task."""
     rows.sparkSession.dataSource.register(Warc)
-    rows.selectExpr("rec_type", "url", "ip", "date", "content_type", "block").write.format("warc").mode("append").save(folder)
+    small_batches(rows.sparkSession)
+    rows.selectExpr(*_COLUMNS).write.format("warc").mode("append").save(folder)
 
 
 def responses(found: DataFrame) -> DataFrame:

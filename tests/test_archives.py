@@ -192,3 +192,21 @@ def test_sink(spark, tmp_path):
     got = warc.read_warc(spark, folder, ("response",), keep_body=100)
     assert got.count() == 11 and {bytes(r.body) for r in got.collect()} == {b"x" * i for i in range(9)}
     assert got.filter("error is not null or body_error is not null").count() == 0
+
+
+def test_writer_takes_few_rows_at_a_time(tmp_path):
+    """A batch of any number of rows costs a writer little more memory than some of its rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from headloom.sources import warc
+
+    names = ("rec_type", "url", "ip", "date", "content_type", "block")
+    rows = pa.RecordBatch.from_pydict({n: pa.array([b"x" * 2000] * 5000) if n == "block" else pa.array(["response" if n == "rec_type" else "http://a/"] * 5000) for n in names})
+    tracemalloc.start()
+    try:
+        warc._Writer({"path": f"file://{tmp_path}/out"}).write(iter([rows]))
+        assert tracemalloc.get_traced_memory()[1] < 2_000_000
+    finally:
+        tracemalloc.stop()
