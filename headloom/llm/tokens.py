@@ -1,9 +1,12 @@
 """Fast token ids from the tokenizers library, inside Arrow batches.
 
-Neither vocabulary lets a token cross from a non-blank into following white space, so a text is cut before
-its spaces and line ends, the distinct pieces of a batch are encoded once each, and ids are gathered back by
-piece. Texts with longer runs of white space, which may be one token of the byte-level
-vocabulary, are encoded whole, as are texts that hold one of the vocabulary's added tokens.
+Neither vocabulary lets a token cross from a non-blank into following white space, nor from a letter into
+what is no letter, so a text is cut before its spaces and line ends and after its ASCII words, the distinct pieces of a
+batch are encoded once each, and ids are gathered back by piece. The word vocabulary ignores case and the kind of a
+blank, so pieces are folded before, and as its tokens say where a word ends, new words are encoded many at a time.
+Texts with longer runs of white space, which may be one token of the byte-level
+vocabulary, are encoded whole, as are texts that hold one of the vocabulary's added tokens and, for the word
+vocabulary, a capital with a combining mark, which are composed before case is folded.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +24,13 @@ import pyarrow.compute as pc
 BYTE_VOCAB, WORD_VOCAB = "byte_bpe_50k.json", "word_bpe_49k.json"
 _BLANK = r"[\s\x0b\x{85}\p{Z}]"
 _SLICE_BYTES = 4 << 20
-_CUT = "\x1f"  # texts that hold it are encoded whole
 PIECES = 700_000  # known pieces a worker keeps; about 200 bytes each
-_BATCH = 4096
+_BATCH, _JOINED = 4096, 256
+_LETTER, _PLAIN, _CUT = (np.zeros(256, bool) for _ in range(3))  # ASCII letters, other ASCII, what starts a piece
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_PLAIN[:128] = ~_LETTER[:128]
+_CUT[[32, 10]] = True
+_FOLD = bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\r", b"   "))  # bytes.lower is ASCII only
 
 
 class Encoder:
@@ -35,46 +42,85 @@ class Encoder:
 
         path = vocab if os.path.isabs(vocab) else public_tokenizers.path(vocab)
         self.tokenizer = Tokenizer.from_file(path)
-        drops_space = "word_bpe" in os.path.basename(path)
-        self.odd = _CUT if drops_space else f"{_CUT}|{_BLANK}{{3}}|{_BLANK}{{2}}$"
+        self.folds = "word_bpe" in os.path.basename(path)
+        self.odd = r"[A-Z]\p{M}" if self.folds else f"{_BLANK}{{3}}|{_BLANK}{{2}}$"
         for token in self.tokenizer.get_added_tokens_decoder().values():
             self.odd += f"|(?i:{re.escape(token.content)})"
-        self.known: dict[str, int] = {}  # piece -> where in starts and sizes; the first ``pieces`` seen
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = self.folds
+        self.known: dict[bytes, int] = {}  # piece -> where in starts and sizes; the first ``pieces`` seen
         self.flat, self.starts, self.sizes = (np.zeros(0, t) for t in (np.uint32, np.int64, np.int64))
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+    def _encode(self, texts: list[str], at_once: int = _BATCH) -> list[list[int]]:
         run = self.tokenizer.encode_batch_fast  # an encoding holds far more than its ids: few at a time
-        return [x.ids for at in range(0, len(texts), _BATCH) for x in run(texts[at : at + _BATCH], add_special_tokens=False)]
+        return [x.ids for at in range(0, len(texts), at_once) for x in run(texts[at : at + at_once], add_special_tokens=False)]
 
-    def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids on end and their number for each of ``words``, a blank and letters each, encoded as lines of words. A
+        word has one id at least that ends a word, so where a line has as many as words, each has exactly one."""
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        lines = [words[at : at + _JOINED] for at in range(0, len(words), _JOINED)]
+        for line, ids in zip(lines, self._encode(["".join(x) for x in lines], _BATCH // _JOINED), strict=True):
+            found = np.array(ids, np.uint32)
+            ends = np.flatnonzero(self.last[found]) + 1
+            if len(ends) == len(line):
+                flat.append(found)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                single = self._encode(line)
+                flat.append(np.fromiter(chain.from_iterable(single), np.uint32))
+                sizes.append(np.fromiter(map(len, single), np.int64, len(single)))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all pieces on end, and where each given piece starts in them and how many it has."""
-        at = np.array(list(map(self.known.get, texts, repeat(-1))), np.int64)
+        at = np.array(list(map(self.known.get, pieces, repeat(-1))), np.int64)
         new = np.flatnonzero(at < 0)
-        fresh = [texts[i] for i in new.tolist()]
-        ids = self._encode(fresh)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))))
+        fresh = [pieces[i] for i in new.tolist()]
+        texts = [x.decode() for x in fresh]
+        easy = np.fromiter((self.folds and x[0] == " " and x[1:].isalpha() for x in texts), bool, len(texts))
+        order = np.argsort(~easy, kind="stable")
+        split = np.count_nonzero(easy)
+        texts = [texts[i] for i in order.tolist()]
+        ids, sizes = self._words(texts[:split])
+        rest = self._encode(texts[split:])
+        sizes = np.concatenate((sizes, np.fromiter(map(len, rest), np.int64, len(rest))))
+        flat = np.concatenate((self.flat, ids, np.fromiter(chain.from_iterable(rest), np.uint32)))
         starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
         sizes = np.concatenate((self.sizes, sizes))
-        at[new] = len(self.starts) + np.arange(len(new))
+        at[new[order]] = len(self.starts) + np.arange(len(new))
         if len(self.known) < self.limit:
-            self.known.update(zip(fresh, range(len(self.starts), len(starts)), strict=True))
+            self.known.update(zip((fresh[i] for i in order.tolist()), range(len(self.starts), len(starts)), strict=True))
             self.flat, self.starts, self.sizes = flat, starts, sizes
         return flat, starts[at], sizes[at]
 
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts on end, and where each text's pieces begin (one more entry than texts)."""
+        _, places, body = texts.buffers()
+        places = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1] if places else np.zeros(1, np.int64)
+        data = memoryview(body)[places[0] : places[-1]] if body else b""
+        places = places - places[0]
+        if self.folds:
+            data = bytes(data).translate(_FOLD)
+        codes = np.frombuffer(data, np.uint8)
+        cut = _CUT[codes]
+        cut[1:] |= _LETTER[codes[:-1]] & _PLAIN[codes[1:]]
+        cut[places[:-1][places[:-1] < len(codes)]] = True
+        at = np.flatnonzero(cut)
+        offsets = pa.py_buffer(np.append(at, len(codes)))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, offsets, pa.py_buffer(data)]), np.searchsorted(at, places)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin (one more entry than texts)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
-        easy = texts.filter(pa.array(~whole)) if whole.any() else texts
-        marked = pc.replace_substring(pc.replace_substring(easy, " ", f"{_CUT} "), "\n", f"{_CUT}\n")
-        split = pc.split_pattern(marked, _CUT)
-        coded = split.flatten().dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = split.offsets.to_numpy()
-        ends = ends - ends[0]
-        words = coded.dictionary.to_pylist()
-        flat, starts, sizes = self._pieces(words)
+        pieces, ends = self._cut(texts.filter(pa.array(~whole)) if whole.any() else texts)
+        coded = pieces.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        _, places, body = coded.dictionary.buffers()
+        body = bytes(body or b"")
+        flat, starts, sizes = self._pieces([body[a:b] for a, b in pairwise(np.frombuffer(places, np.int64)[: len(coded.dictionary) + 1].tolist())] if len(code) else [])
         n = sizes[code]
         at = np.concatenate(([0], np.cumsum(n)))
         gathered = flat[np.repeat(starts[code] - at[:-1], n) + np.arange(at[-1])] if len(n) else flat

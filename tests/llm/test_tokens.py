@@ -32,6 +32,35 @@ def test_pieces_give_the_same_ids(vocab):
         assert [found[i].tolist() for i in range(len(batch))] == [[*encode(x), 7] for x in [*TEXTS, None]]
 
 
+ODD_TEXTS = ["H\u0331 h\u0331 E\u0301t\u00c9 \u0130I\u0307", "a\u0301, b", "don't,'s 'S 'Sx x'LL ''s", "a..b,\u00e9.\u00e9 c,\u0301d", "A\tB\r\nC\x0bD\x0cE\x1fF\x85G\u2028H", "x1y22z \u0661\u00b2 \u216b", "\u00aa \u02b0a \u1c80 \ua7cb\U0001df00 \u4e2d\u6587,\u6587 \U0001f600a", "_a_b-c|d", " \u00a0a \u3000", "a \ud55c\u1100\u1161", ".", " ", "\n", "Q"]
+
+
+@pytest.mark.parametrize("vocab", [BYTE_VOCAB, WORD_VOCAB])
+def test_cuts_leave_ids_as_they_are(vocab):
+    encode = plain(vocab)
+    marks = [a + x + b for x in ("H\u0331", ",", "\u00e9", "1", "\t", "\u0301", "'s", "\n") for a in ("", "A", "b ", "\u00c9", "-", "2") for b in ("", "C", " d", "\u0301", ".", "3")]
+    texts = pa.array(["", *ODD_TEXTS, None, *marks, " ".join([*ODD_TEXTS, *marks]), ""])
+    encoder = Encoder(vocab)
+    for part in (texts, texts, texts.slice(3, 40), texts.slice(2, 0)):  # a slice has offsets of its own
+        ids, at = encoder.encode(part)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [encode(x) for x in part.to_pylist()]
+
+
+def test_new_words_are_encoded_once_and_many_at_a_time(monkeypatch):
+    given = []
+
+    def spy(self, texts, *rest, run=Encoder._encode):
+        given.extend(texts)
+        return run(self, texts, *rest)
+
+    monkeypatch.setattr(Encoder, "_encode", spy)
+    words = [f"{a}{b}{c}" for a in "bdfglmnprs" for b in "aeiouy\u00e9\u00f6" for c in ("nth", "tion", "rel", "k\u00e8")]
+    text = " ".join(y for x in words for y in (x, f"{x},", f"{x}.", x.title(), f"{x.upper()}\n{x}"))
+    ids, _ = Encoder(WORD_VOCAB).encode(pa.array([text]))
+    assert ids.tolist() == plain(WORD_VOCAB)(text)
+    assert len(given) < len(words)
+
+
 class Source(io.BytesIO):
     reads = 0
 
